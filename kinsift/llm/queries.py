@@ -6,14 +6,83 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinsift.functions.ids import ref_id, ref_id_sql, strip_sql
+from kinsift.llm.groups import group_matches, undirected
 from kinsift.llm.mixing import draw_mix, plan_sources, quality_weight, reached_shares
 from kinsift.llm.packing import pack
+from kinsift.llm.pieces import split_long
+from kinsift.llm.spans import shared_runs, shared_share, submissions
+from kinsift.llm.splits import assign_roles, leaking_entities, pair_components, pair_entities, share_report
 from kinsift.llm.tokens import token_count, token_count_sql
 from kinsift.llm.top_n import top_n
 from kinsift.session import table
 
 CAPACITY = 256
 TOP = 10
+LIMIT, OVERLAP = 2000, 200
+
+
+def _components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pair_components(pair_entities(table(spark, sf_dir, "pairs"), table(spark, sf_dir, "files")))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaking_entities(table(spark, sf_dir, "data_splits"), _components(spark, sf_dir))
+
+
+def p1_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_roles(_components(spark, sf_dir))
+
+
+def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return share_report(p1_roles(spark, sf_dir))
+
+
+_P1 = f"""
+  with f as (select {ref_id_sql("file_id")} as id, min(nullif(lower({strip_sql("author_id")}), '')) as author from files group by 1),
+  side as (select dataset_name, row_index, {ref_id_sql("left_id")} as id from pairs union all select dataset_name, row_index, {ref_id_sql("right_id")} from pairs),
+  ent as (select distinct dataset_name, row_index, coalesce(f.author, s.id) as entity_id from side s left join f on f.id = s.id where s.id is not null),
+  lists as (select name, dataset_name, unnest(train_indices) as row_index, 1 as role from data_splits
+    union select name, dataset_name, unnest(validation_indices), 2 from data_splits
+    union select name, dataset_name, unnest(test_indices), 3 from data_splits)
+  select name, entity_id from lists join ent using (dataset_name, row_index) group by all having count(distinct role) > 1"""
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_runs(submissions(table(spark, sf_dir, "pairs")))
+
+
+def p2_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = submissions(table(spark, sf_dir, "pairs"))
+    return shared_share(records, shared_runs(records))
+
+
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = table(spark, sf_dir, "pairs")
+    # A side's text is the same in all its rows: what is short or empty need not be grouped.
+    trimmed = [pairs.where(F.char_length(f"{s}_text") > LIMIT).select(F.col(f"{s}_id").alias("left_id"), F.col(f"{s}_text").alias("left_text"), F.lit(None).cast("string").alias("right_id"), F.lit(None).cast("string").alias("right_text")) for s in ("left", "right")]
+    return split_long(submissions(trimmed[0].unionByName(trimmed[1])), LIMIT, OVERLAP)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_pieces(spark, sf_dir).where("piece_no = 1").select("file_id")
+
+
+_P3 = f"""
+  select distinct id as file_id from (select {ref_id_sql("left_id")} as id, left_text as t from pairs union all select {ref_id_sql("right_id")}, right_text from pairs)
+  where id is not null and length(t) > {LIMIT}"""
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matches = table(spark, sf_dir, "pairs").where("label = 1")
+    return group_matches(undirected(matches, "left_id", "right_id")).withColumnRenamed("node", "file_id")
+
+
+_P7 = f"""
+  with recursive edge as (select distinct {ref_id_sql("left_id")} as a, {ref_id_sql("right_id")} as b from pairs
+      where label = 1 and {ref_id_sql("left_id")} <> {ref_id_sql("right_id")}),
+  arc as (select a, b from edge union select b, a from edge),
+  walk as (select distinct a as file_id, a as seen from arc union select w.file_id, arc.b from walk w join arc on arc.a = w.seen)
+  select file_id, min(seen) as group_id from walk group by 1"""
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +144,14 @@ _P9 = f"""
   select source from both_ where 100 * max_repeats * t < target_pct * (select sum(t) from both_)"""
 
 QUERIES = {
+    "p1_found": (p1_found, _P1),
+    "p1_roles": (p1_roles, None),
+    "p1_shares": (p1_shares, None),
+    "p2_found": (p2_found, None),
+    "p2_shared": (p2_shared, None),
+    "p3_found": (p3_found, _P3),
+    "p3_pieces": (p3_pieces, None),
+    "p7_found": (p7_found, _P7),
     "p5_found": (p5_found, _P5),
     "p8_found": (p8_found, f"select doc_id from documents where {token_count_sql('text')} > {CAPACITY}"),
     "p8_containers": (p8_containers, None),
