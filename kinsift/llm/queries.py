@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from kinsift.functions.ids import ref_id, ref_id_sql, strip_sql
 from kinsift.llm.groups import group_matches, undirected
-from kinsift.llm.mixing import draw_mix, plan_sources, quality_weight, reached_shares
+from kinsift.llm.mixing import draw_mix, quality_weight, reached_shares
 from kinsift.llm.packing import pack
 from kinsift.llm.pieces import split_long
+from kinsift.llm.pii import find_pii, redact
 from kinsift.llm.spans import shared_runs, shared_share, submissions
 from kinsift.llm.splits import assign_roles, leaking_entities, pair_components, pair_entities, share_report
 from kinsift.llm.tokens import token_count, token_count_sql
@@ -143,6 +144,16 @@ _P9 = f"""
   both_ as (select m.source, m.target_pct, m.max_repeats, coalesce(o.t, 0) as t from mix_targets m left join own o on o.key = lower({strip_sql("m.source")}))
   select source from both_ where 100 * max_repeats * t < target_pct * (select sum(t) from both_)"""
 
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_hints")).select("doc_id", "kind", "pii_text").distinct()
+
+
+def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redact(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_hints"))
+
+
 QUERIES = {
     "p1_found": (p1_found, _P1),
     "p1_roles": (p1_roles, None),
@@ -159,4 +170,6 @@ QUERIES = {
     "p9_found": (p9_found, _P9),
     "p9_mix": (p9_mix, None),
     "p9_shares": (p9_shares, None),
+    "p10_found": (p10_found, None),
+    "p10_redacted": (p10_redacted, None),
 }
