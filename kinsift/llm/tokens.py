@@ -6,10 +6,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Java's \\s is ASCII; the rule's white space is Unicode's.
-_SPACE = r"\t-\r\x20\x85\xa0  -     　"
+_SPACE = r"\t-\r\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 TOKEN = rf"[\p{{L}}\p{{N}}_]++|[^\p{{L}}\p{{N}}_{_SPACE}]++"
 
-TOKEN_SQL = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\t-\r\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+TOKEN_SQL = TOKEN.replace("++", "+")
 
 
 def token_count(text: Column) -> Column:
