@@ -191,6 +191,9 @@ def blake_fingerprints_of(tokens: list[str], k: int = 5, w: int = 4) -> list[str
     return sorted({f"{min(hashes[i : i + w]):016x}" for i in range(len(hashes) - w + 1)})
 
 
-@F.pandas_udf("array<string>")
-def blake_fingerprints(tokens: pd.Series) -> pd.Series:
-    return tokens.map(lambda t: blake_fingerprints_of(list(t) if t is not None else []))
+def blake_fingerprints(tokens: Column | str, k: int = 5, w: int = 4) -> Column:
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda t: blake_fingerprints_of(list(t) if t is not None else [], k, w))
+
+    return run(tokens)
