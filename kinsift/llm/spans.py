@@ -176,7 +176,7 @@ def shared_runs(records: DataFrame, span: int = 120, anchor: int = ANCHOR) -> Da
     combine on the map side to smallest and largest id; the join back splits hot segments (join_counted), and an
     anchor with more than STREAM_SEGMENTS segments goes the exploded way. Texts travel a second time only for
     segments near an edit."""
-    docs = cut(records.where(F.char_length("text") >= span).select("file_id", "text"))
+    docs = cut(records.where((F.char_length("text") >= span) & F.col("file_id").isNotNull()).select("file_id", "text"))
     schema = "file_id string, s int, e int, a long, g long"
     segs = cut(docs.mapInArrow(_segmenter(span, anchor), schema))
     place = F.struct("file_id", "s", "e")
