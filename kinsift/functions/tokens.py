@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,11 @@ from pyspark.sql import functions as F
 CODE = r"[A-Za-z_][A-Za-z0-9_]*|\p{Nd}+|[^\p{L}\p{N}_\s\p{Z}]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once: what a lambda only refers to is evaluated for each element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _col(x: Column | str) -> Column:
     return F.coalesce(F.col(x) if isinstance(x, str) else x, F.lit(""))
 
@@ -32,5 +39,9 @@ def whitespace_tokens(text: Column | str) -> Column:
 
 def ngrams(tokens: Column, n: int, joined: str = " ") -> Column:
     """Contiguous n-grams, joined; empty where there are fewer than n tokens."""
-    spots = F.when((F.size(tokens) >= n) & F.lit(n > 0), F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(spots, lambda i: F.array_join(F.slice(tokens, i, n), joined))
+
+    def cut(t: Column) -> Column:
+        spots = F.when((F.size(t) >= n) & F.lit(n > 0), F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(spots, lambda i: F.array_join(F.slice(t, i, n), joined))
+
+    return let(tokens, cut)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kinsift.functions.tokens import code_tokens
+from kinsift.functions.tokens import code_tokens, let
 
 FUNCTIONS = ("cosine", "dot", "euclidean", "manhattan")
 #: Least and greatest score by function and normalisation.
@@ -54,26 +54,24 @@ def similarity(a: Column | str, b: Column | str, function: str = "cosine", norma
 def hash_vector(text: Column | str, dim: int = 256, lower: bool = True) -> Column:
     """Counts of tokens by crc32 bucket, scaled to length 1; zeros for a text without tokens."""
     dim = max(8, int(dim))
-    buckets = F.transform(code_tokens(text, lower), lambda t: F.crc32(t) % dim)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(buckets, lambda b: b == i)).cast("double"))
-    norm = F.sqrt(dot(counts, counts))
-    return F.when(norm > 0, F.transform(counts, lambda x: x / norm)).otherwise(counts)
+    buckets = F.transform(code_tokens(text, lower), lambda t: F.crc32(F.encode(t, "UTF-8")) % dim)
+    counts = let(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")))
+    return let(counts, unit)
 
 
 def unit(v: Column) -> Column:
-    norm = F.sqrt(dot(v, v))
-    return F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    scaled = lambda norm: F.when(norm > 0, F.transform(v, lambda x: x.cast("double") / norm)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return let(F.sqrt(dot(v, v)), scaled)
 
 
 def max_sim(a: Column | str, b: Column | str, both_ways: bool = False) -> Column:
     """Multivectors: the mean over a's rows of the greatest cosine with b's; or the mean of both directions."""
-    x, y = F.transform(_c(a), unit), F.transform(_c(b), unit)
-
     def one(p: Column, q: Column) -> Column:
         best = F.transform(p, lambda r: F.array_max(F.transform(q, lambda s: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(r, s))))))
         return F.when((F.size(p) > 0) & (F.size(q) > 0), _sum(best) / F.size(p)).otherwise(0.0)
 
-    return (one(x, y) + one(y, x)) / 2 if both_ways else one(x, y)
+    score = lambda x, y: (one(x, y) + one(y, x)) / 2 if both_ways else one(x, y)
+    return let(F.transform(_c(a), unit), lambda x: let(F.transform(_c(b), unit), lambda y: score(x, y)))
 
 
 def aggregate_chunks(chunks: Column | str, how: str = "mean") -> Column:

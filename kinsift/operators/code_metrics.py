@@ -40,7 +40,11 @@ def require(metric: str) -> None:
 def trivial_ngrams(docs: DataFrame, key: str, tokens: str, order: int = 4, top: int = 50) -> DataFrame:
     """(n, ngram, count, rank): for every n the `top` most frequent n-grams of the corpus, ties by where they
     came first (document, then position). The result has at most order * top rows."""
-    grams = F.concat(*[F.transform(ngrams(F.col(tokens), n, SEP), lambda g, i, n=n: F.struct(F.lit(n).alias("n"), g.alias("ngram"), i.alias("pos"))) for n in range(1, order + 1)])
+
+    def named(n: int) -> Column:
+        return F.transform(ngrams(F.col(tokens), n, SEP), lambda g, i: F.struct(F.lit(n).alias("n"), g.alias("ngram"), i.alias("pos")))
+
+    grams = F.concat(*[named(n) for n in range(1, order + 1)])
     rows = docs.select(F.col(key).alias("doc"), F.inline(grams))
     counts = rows.groupBy("n", "ngram").agg(F.count("*").alias("count"), F.min(F.struct("doc", "pos")).alias("first"))
     best = Window.partitionBy("n").orderBy(F.desc("count"), "first.doc", "first.pos")

@@ -5,17 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinsift.functions.tokens import let
 from kinsift.session import cut
 
 
 def fingerprints(tokens: Column, k: int = 5, w: int = 4) -> Column:
     """Sorted distinct minima of every window of w hashed k-grams, k and w cut to what there is. md5 in hex: its
     order as text is its order as a number."""
-    kk = F.least(F.lit(max(1, k)), F.size(tokens))
-    grams = F.transform(F.sequence(F.lit(1), F.size(tokens) - kk + 1), lambda i: F.md5(F.array_join(F.slice(tokens, i, kk), "\x1f")))
-    ww = F.least(F.lit(max(1, w)), F.size(grams))
-    minima = F.transform(F.sequence(F.lit(1), F.size(grams) - ww + 1), lambda i: F.array_min(F.slice(grams, i, ww)))
-    return F.when(F.size(tokens) > 0, F.array_sort(F.array_distinct(minima))).otherwise(F.array().cast("array<string>"))
+
+    def grams(t: Column) -> Column:
+        kk = F.least(F.lit(max(1, k)), F.size(t))
+        return F.transform(F.sequence(F.lit(1), F.size(t) - kk + 1), lambda i: F.md5(F.array_join(F.slice(t, i, kk), "\x1f")))
+
+    def minima(h: Column) -> Column:
+        ww = F.least(F.lit(max(1, w)), F.size(h))
+        return F.transform(F.sequence(F.lit(1), F.size(h) - ww + 1), lambda i: F.array_min(F.slice(h, i, ww)))
+
+    none = F.array().cast("array<string>")
+    return let(tokens, lambda t: F.when(F.size(t) > 0, let(grams(t), lambda h: F.array_sort(F.array_distinct(minima(h))))).otherwise(none))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -128,10 +128,16 @@ def levenshtein_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", F.round(strings.levenshtein_similarity("p_name", "p_type"), 6).alias("similarity"))
 
 
-@_query(f"select p_partkey, round({_LEV_SQL}, 6) as similarity from part where {_LEV_SQL} >= 0.25")
+_NEXT_SQL = "1.0 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name))"
+
+
+@_query(f"select a.p_partkey, round({_NEXT_SQL}, 6) as similarity from part a join part b on b.p_partkey = a.p_partkey + 1 where {_NEXT_SQL} >= 0.5")
 def levenshtein_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    least = strings.levenshtein_at_least("p_name", "p_type", 0.25)
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(least, 6).alias("similarity")).where("similarity is not null")
+    """Each part's name with the next one's, where they are at least half equal."""
+    part = table(spark, sf_dir, "part")
+    after = part.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    least = strings.levenshtein_at_least("p_name", "other", 0.5)
+    return part.join(after, "p_partkey").select("p_partkey", F.round(least, 6).alias("similarity")).where("similarity is not null")
 
 
 @_query("select p_partkey, round(jaro_winkler_similarity(p_name, p_type), 6) as similarity from part")
