@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from kinsift.functions import strings, text, tokens, vectors, weights
 from kinsift.functions.ids import WHITE, WHITE_CLASS, ref_id, ref_id_sql
 from kinsift.functions.labels import binary_label, binary_label_sql, relevance_sql, relevance_value
-from kinsift.operators import classify, code_metrics, datasets, leaderboard, resample, retrieval, validate, winnowing
+from kinsift.functions.chunks import chunks
+from kinsift.operators import classify, code_metrics, compare, datasets, explain, leaderboard, resample, retrieval, validate, winnowing
 from kinsift.operators.search import vector_search
 from kinsift.session import table
 
@@ -764,3 +765,36 @@ def validation_issues_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(_issues_sql(_RETRIEVAL_ISSUES))
 def validation_issues_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.retrieval_issues(*(table(spark, sf_dir, t) for t in ("files", "queries", "corpus", "qrels")))
+
+
+# ---------------------------------------------------------------- whole runs
+@_query()
+def evaluate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled pairs scored by several features at once and measured by data set."""
+    files = table(spark, sf_dir, "files").select(ref_id("file_id").alias("file_id"), "text")
+    pairs = table(spark, sf_dir, "pairs").where("label in (0, 1)").select("dataset_name", ref_id("left_id").alias("left_id"), ref_id("right_id").alias("right_id"), "label")
+    o = compare.Options(feature_weights="winnowing=2,semantic=1,code_metric=1", code_metric="ruby", preprocess_mode="normalize")
+    scored = compare.score_pairs(files, pairs, o).withColumn("score", F.round("similarity_score", 6))
+    return _round(classify.confusion(scored, 0.5, by=["dataset_name"]), *_FOUR)
+
+
+@_query()
+def compare_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "files").where("text is not null").select(F.col("file_id").alias("file_name"), F.col("text").alias("code"))
+    return compare.compare_collection(files, compare.Options(feature_weights={"winnowing": 1.0}), threshold=0.5, number_results=10)
+
+
+@_query()
+def pair_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "pairs").where("label = 1").select(F.concat_ws("/", "dataset_name", "row_index").alias("pair_id"), "left_text", "right_text")
+    return explain.explain_pairs(rows)
+
+
+@_query()
+def pca_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explain.project(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding"))
+
+
+@_query()
+def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunks("text", "sentence", 40)).alias("chunk_no", "chunk"))
