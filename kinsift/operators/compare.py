@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kinsift.functions import strings, text, tokens, vectors, weights
 from kinsift.operators import code_metrics, winnowing
-from kinsift.session import cut
+from kinsift.session import cut, spread
 
 
 @dataclass(frozen=True)
@@ -47,7 +47,7 @@ class Options:
 
 def document_features(docs: DataFrame, o: Options) -> DataFrame:
     """docs (id, text) with what the active features need, worked out once a document: code, and tok, fps, vec."""
-    out = docs.select("id", text.preprocess("text", o.preprocess_mode, o.language).alias("code"))
+    out = spread(docs.select("id", "text")).select("id", text.preprocess("text", o.preprocess_mode, o.language).alias("code"))
     if o.active("winnowing", "gst", "code_metric"):
         out = out.withColumn("tok", tokens.code_tokens("code"))
     if o.active("winnowing"):
@@ -122,7 +122,7 @@ def score_pairs(files: DataFrame, pairs: DataFrame, options: Options | None = No
     o = options or Options(feature_weights={"levenshtein": 1.0}, language="python")
     features = cut(document_features(files.select(F.col("file_id").alias("id"), "text"), o))
     both = pairs.join(_side(features, "l"), F.col("left_id") == F.col("l_id")).join(_side(features, "r"), F.col("right_id") == F.col("r_id"))
-    return both.select(*[pairs[c] for c in pairs.columns], score(o).alias("similarity_score"))
+    return spread(both).select(*pairs.columns, score(o).alias("similarity_score"))
 
 
 def score_retrieval(files: DataFrame, queries: DataFrame, corpus: DataFrame, options: Options | None = None) -> DataFrame:
@@ -152,4 +152,4 @@ def custom_scores(files: DataFrame, pairs: DataFrame, scorer, context: object =
 
     left = files.select(F.col("file_id").alias("left_id"), F.col("text").alias("_l"))
     right = files.select(F.col("file_id").alias("right_id"), F.col("text").alias("_r"))
-    return pairs.join(left, "left_id").join(right, "right_id").withColumn("similarity_score", run("_l", "_r")).drop("_l", "_r")
+    return spread(pairs.join(left, "left_id").join(right, "right_id")).withColumn("similarity_score", run("_l", "_r")).drop("_l", "_r")

@@ -9,12 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.functions.strings import weighted_distance
+from kinsift.functions.ids import strip
+from kinsift.functions.strings import levenshtein_at_least
+from kinsift.session import cut, spread
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-_SCHEMA = "match_id string, left_index int, right_index int, left_text string, right_text string, left_start int, right_start int, left_line int, right_line int, score double, level string"
-
-
 def segments(code: str, mode: str = "line") -> list[tuple[str, int, int]]:
     """(text, start, line number from 1) of the non-blank lines, or of the tokens."""
     out, at = [], 0
@@ -27,52 +26,48 @@ def segments(code: str, mode: str = "line") -> list[tuple[str, int, int]]:
     return out
 
 
-def _similar(a: str, b: str) -> float:
-    a, b = a.strip(), b.strip()
-    if not a or not b:
-        return 0.0
-    return 1.0 if a == b else 1.0 - weighted_distance(a, b, 1, 1, 1) / max(len(a), len(b))
-
-
-def match(left: str, right: str, mode: str = "line", bands: tuple[float, float, float] = (0.95, 0.7, 0.3)) -> list[tuple]:
-    """Greedy one-to-one matches, best score first, then by position: (match_id, left and right index, texts,
-    starts, lines, score to 6 decimals, level)."""
-    high, medium, low = bands
-    a, b = segments(left or "", mode), segments(right or "", mode)
-    scored: dict[tuple[str, str], float] = {}
-    pairs = []
-    for i, x in enumerate(a):
-        for j, y in enumerate(b):
-            longest, shortest = max(len(x[0].strip()), len(y[0].strip())), min(len(x[0].strip()), len(y[0].strip()))
-            if not longest or shortest / longest < low:
-                continue  # the score can't reach the lowest band
-            key = (x[0], y[0])
-            if key not in scored:
-                scored[key] = _similar(*key)
-            if scored[key] >= low:
-                pairs.append((-scored[key], i, j))
-    used_a, used_b, out = set(), set(), []
-    for negative, i, j in sorted(pairs):
-        if i in used_a or j in used_b:
-            continue
-        used_a.add(i)
-        used_b.add(j)
-        s = -negative
-        level = "high" if s >= high else "medium" if s >= medium else "low"
-        out.append((f"m{len(out) + 1}", i, j, a[i][0], b[j][0], a[i][1], b[j][1], a[i][2], b[j][2], round(s, 6), level))
+def greedy(scored: list[tuple[float, int, int]]) -> list[tuple[int, int, float]]:
+    """One-to-one matches of (score, i, j), best score first, then by i, then by j."""
+    left, right, out = set(), set(), []
+    for s, i, j in sorted(scored, key=lambda x: (-x[0], x[1], x[2])):
+        if i not in left and j not in right:
+            left.add(i)
+            right.add(j)
+            out.append((i, j, s))
     return out
 
 
-def explain_pairs(pairs: DataFrame, mode: str = "line") -> DataFrame:
-    """pairs (pair_id, left_text, right_text): a row a match. A pair at a time; its matches are bounded by its
-    texts. Null texts match nothing."""
-
-    def run(batches):
-        for pdf in batches:
-            rows = [(r.pair_id, *m) for r in pdf.itertuples() for m in match(r.left_text, r.right_text, mode)]
-            yield pd.DataFrame(rows, columns=["pair_id", *(c.split()[0] for c in _SCHEMA.split(", "))])
+def explain_pairs(pairs: DataFrame, mode: str = "line", bands: tuple[float, float, float] = (0.95, 0.7, 0.3)) -> DataFrame:
+    """pairs (pair_id, unique; left_text, right_text): a row a match, with both sides' index, text, start and line,
+    score to 6 decimals and level (high, medium, low by `bands`). Null texts match nothing.
 
-    return pairs.select(F.col("pair_id").cast("string").alias("pair_id"), "left_text", "right_text").mapInPandas(run, f"pair_id string, {_SCHEMA}")
+    Segments of a pair are compared with each other in the JVM (Levenshtein similarity of the stripped texts, cut
+    off where the lowest band can't be reached); only the greedy choice among them, bounded by the pair's two
+    texts, runs in Python."""
+    high, medium, low = bands
+    kind = "array<struct<text:string,start:int,line:int>>"
+
+    @F.pandas_udf(kind)
+    def cut_up(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(("text", "start", "line"), x)) for x in segments(t or "", mode)])
+
+    @F.pandas_udf("array<struct<i:int,j:int,score:double>>")
+    def choose(scored: pd.Series) -> pd.Series:
+        return scored.map(lambda rows: [dict(zip(("i", "j", "score"), m)) for m in greedy([(r["score"], r["i"], r["j"]) for r in rows])])
+
+    parts = cut(pairs.select("pair_id", cut_up("left_text").alias("l"), cut_up("right_text").alias("r")))
+    wide = spread(parts)
+    left = wide.select("pair_id", F.posexplode("l").alias("i", "a"), "r")
+    both = left.select("pair_id", "i", strip("a.text").alias("x"), F.posexplode("r").alias("j", "b")).select("pair_id", "i", "j", "x", strip("b.text").alias("y"))
+    scored = both.where("x <> '' and y <> ''").withColumn("score", levenshtein_at_least("x", "y", low)).where("score is not null")
+    chosen = scored.groupBy("pair_id").agg(F.collect_list(F.struct("score", "i", "j")).alias("m")).select("pair_id", F.posexplode(choose("m")).alias("n", "m"))
+    rows = chosen.join(parts, "pair_id")
+    a, b = F.element_at("l", F.col("m.i") + 1), F.element_at("r", F.col("m.j") + 1)
+    level = F.when(F.col("m.score") >= high, "high").when(F.col("m.score") >= medium, "medium").otherwise("low")
+    return rows.select(
+        "pair_id", F.concat(F.lit("m"), (F.col("n") + 1).cast("string")).alias("match_id"), F.col("m.i").alias("left_index"), F.col("m.j").alias("right_index"), a["text"].alias("left_text"), b["text"].alias("right_text"),
+        a["start"].alias("left_start"), b["start"].alias("right_start"), a["line"].alias("left_line"), b["line"].alias("right_line"), F.round("m.score", 6).alias("score"), level.alias("level"),
+    )
 
 
 def project(vectors: DataFrame, dims: int = 2) -> DataFrame:

@@ -13,7 +13,7 @@ from kinsift.functions.labels import binary_label, binary_label_sql, relevance_s
 from kinsift.functions.chunks import chunks
 from kinsift.operators import classify, code_metrics, compare, datasets, explain, leaderboard, resample, retrieval, validate, winnowing
 from kinsift.operators.search import vector_search
-from kinsift.session import table
+from kinsift.session import spread, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -173,7 +173,7 @@ _DOC_FPS = f"select doc_id, {_fps_sql('t')} as fps from (select doc_id, {_CODE_S
 
 
 def _doc_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", winnowing.fingerprints(tokens.code_tokens("text"), K, W).alias("fps"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", winnowing.fingerprints(tokens.code_tokens("text"), K, W).alias("fps"))
 
 
 @_query(f"select doc_id, len(fps) as n, array_to_string(fps, '') as fps from ({_DOC_FPS})")
@@ -290,7 +290,7 @@ _SCORED = f"""
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pairs").where("label in (0, 1) and left_text is not null and right_text is not null")
     x, y = (winnowing.fingerprints(tokens.code_tokens(f"{s}_text"), K, W) for s in ("left", "right"))
-    fps = rows.select("dataset_name", "row_index", ref_id("left_id").alias("left_id"), ref_id("right_id").alias("right_id"), "label", x.alias("x"), y.alias("y"))
+    fps = spread(rows).select("dataset_name", "row_index", ref_id("left_id").alias("left_id"), ref_id("right_id").alias("right_id"), "label", x.alias("x"), y.alias("y"))
     return fps.select("dataset_name", "row_index", "left_id", "right_id", "label", F.round(winnowing.jaccard(F.col("x"), F.col("y")), 6).alias("score"))
 
 
@@ -424,7 +424,7 @@ _RESULTS = f"""
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every query's file against every corpus file that shares a fingerprint with it; others score 0."""
-    files = table(spark, sf_dir, "files").where("text is not null").select(ref_id("file_id").alias("f"), winnowing.fingerprints(tokens.code_tokens("text"), K, W).alias("fps"))
+    files = spread(table(spark, sf_dir, "files").where("text is not null").select("file_id", "text")).select(ref_id("file_id").alias("f"), winnowing.fingerprints(tokens.code_tokens("text"), K, W).alias("fps"))
     q = table(spark, sf_dir, "queries").select(ref_id("query_id").alias("id"), ref_id("file_id").alias("f")).join(files, "f").select("id", "fps")
     d = table(spark, sf_dir, "corpus").select(ref_id("document_id").alias("id"), ref_id("file_id").alias("f")).join(files, "f").select("id", "fps")
     met = winnowing.shared_counts(q.where(F.size("fps") > 0), d.where(F.size("fps") > 0))
@@ -471,7 +471,7 @@ def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- code metrics
 def _text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pairs").where("left_text is not null and right_text is not null")
+    return spread(table(spark, sf_dir, "pairs").where("left_text is not null and right_text is not null"))
 
 
 _UNIT = "chr(31)"

@@ -50,6 +50,15 @@ def scratch_dir(spark: SparkSession) -> str:
     return _SCRATCH[app]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores before work that is heavy by row: a scan of few small files has few tasks. Inputs that
+    have as many partitions as cores stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df written as a table in the scratch folder and read again: its lineage ends there, so a lost
     executor costs no more than the stage at hand."""
