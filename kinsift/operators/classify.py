@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinsift.session import cut
+
 METRICS = ("f1", "accuracy", "precision", "recall")
 
 
@@ -78,7 +80,7 @@ def candidates(counts: DataFrame) -> DataFrame:
 
 def threshold_sweep(pairs: DataFrame, thresholds: list[float] | None = None, greater: bool = True) -> DataFrame:
     """Counts and ratios at every candidate threshold, or at those given."""
-    counts = _by_score(pairs)
+    counts = cut(_by_score(pairs))  # read for marks, middles, ends and totals, but scored once
     if thresholds is None:
         marks = candidates(counts)
     else:
@@ -98,7 +100,7 @@ def best_threshold(pairs: DataFrame, metric: str = "f1", greater: bool = True) -
 
 
 def _curve(pairs: DataFrame, greater: bool) -> DataFrame:
-    counts = _by_score(pairs)
+    counts = cut(_by_score(pairs))
     ends = _margins(counts).select(F.explode(F.array(F.col("lo") - F.col("m"), F.col("hi") + F.col("m"))).alias("threshold"))
     return _counts_at(counts.select(F.col("score").alias("threshold")).unionByName(ends).distinct(), counts, greater)
 

@@ -13,7 +13,7 @@ from kinsift.functions.labels import binary_label, binary_label_sql, relevance_s
 from kinsift.functions.chunks import chunks
 from kinsift.operators import classify, code_metrics, compare, datasets, explain, leaderboard, resample, retrieval, validate, winnowing
 from kinsift.operators.search import vector_search
-from kinsift.session import spread, table
+from kinsift.session import cut, spread, table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -600,7 +600,7 @@ def metric_summary_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy by data set at two thresholds, as paired samples."""
-    scored = _scored(spark, sf_dir)
+    scored = cut(_scored(spark, sf_dir))
     a, b = (classify.confusion(scored, t, by=["dataset_name"]).select("dataset_name", F.col("accuracy").alias(n)) for t, n in ((0.5, "at_50"), (0.3, "at_30")))
     return resample.compare_samples(a.join(b, "dataset_name"), "at_50", "at_30")
 
@@ -623,7 +623,7 @@ _BOARD = " union all ".join(
 
 
 def _board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _scored(spark, sf_dir)
+    scored = cut(_scored(spark, sf_dir))
     out = None
     for t in _THRESHOLDS:
         rows = _round(classify.confusion(scored, t, by=["dataset_name"]), *_FOUR)
