@@ -33,13 +33,37 @@ def ranked(results: DataFrame, score: str = "similarity_score") -> DataFrame:
     return results.withColumn("rank", F.row_number().over(order))
 
 
-def query_metrics(results: DataFrame, qrels: DataFrame, k: int = 10, score: str = "similarity_score") -> DataFrame:
+def whole_ranks(results: DataFrame, qrels: DataFrame, queries: DataFrame, documents: DataFrame, score: str = "similarity_score") -> DataFrame:
+    """(query_id, rank, relevance) of the relevant documents (judged above 0) when every one of queries (query_id,
+    unique) is ranked against every one of documents (document_id, unique), and pairs that results doesn't have
+    score 0. Scores are at least 0.
+
+    The documents that score 0 follow the others in the order of their ids, so their ranks are counted, not
+    formed: what scores above 0, plus the document's place among all ids, less what of it scores above 0. Places
+    come from one sort of the document ids alone."""
+    above = results.where(F.col(score) > 0).select("query_id", "document_id", F.col(score).alias("s"))
+    wanted = judged(qrels).where("relevance > 0").join(queries.select("query_id"), "query_id", "left_semi")
+    places = documents.select("document_id", F.row_number().over(Window.orderBy("document_id")).alias("place"))
+    wanted = wanted.join(places, "document_id")
+    both = above.join(wanted, ["query_id", "document_id"], "full").select("query_id", "document_id", F.coalesce("s", F.lit(0.0)).alias("s"), "relevance", "place")
+    met = (F.col("s") > 0).cast("int")
+    earlier = Window.partitionBy("query_id").orderBy("document_id").rowsBetween(Window.unboundedPreceding, 0)
+    by_score = Window.partitionBy("query_id").orderBy(F.desc("s"), F.asc("document_id"))
+    rows = both.withColumn("earlier", F.sum(met).over(earlier)).withColumn("met", F.sum(met).over(Window.partitionBy("query_id"))).withColumn("rank", F.row_number().over(by_score))
+    rank = F.when(F.col("s") > 0, F.col("rank")).otherwise(F.col("met") + F.col("place") - F.col("earlier"))
+    return rows.where("relevance > 0").select("query_id", rank.alias("rank"), "relevance")
+
+
+def query_metrics(results: DataFrame, qrels: DataFrame, k: int = 10, score: str = "similarity_score", over: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Per query: results, relevant (judged above 0), average precision over all relevant documents, reciprocal
     rank, precision, recall and nDCG at k. Every query with results or judgements counts; one without relevant
-    documents or results has 0 throughout. Precision divides by k whatever there is; gains are linear."""
+    documents or results has 0 throughout. Precision divides by k whatever there is; gains are linear.
+
+    over: (queries, documents), if results leaves out pairs that score 0: the metrics are those of all queries
+    against all documents, see whole_ranks()."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    rows = ranked(with_relevance(results, qrels), score)
+    rows = ranked(with_relevance(results, qrels), score) if over is None else whole_ranks(results, qrels, *over, score)
     hit = F.col("relevance") > 0
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("hits", F.sum(hit.cast("int")).over(running))
@@ -48,6 +72,9 @@ def query_metrics(results: DataFrame, qrels: DataFrame, k: int = 10, score: str
         F.count("*").alias("results"), F.sum(F.when(hit, F.col("hits") / F.col("rank"))).alias("ap"), F.min(F.when(hit, F.col("rank"))).alias("first"),
         F.sum((hit & (F.col("rank") <= k)).cast("int")).alias("top"), F.sum(F.when(hit & (F.col("rank") <= k), gain)).alias("dcg"),
     )
+    if over is not None:
+        total = over[0].select("query_id").crossJoin(over[1].agg(F.count("*").alias("results"))).where("results > 0")
+        found = total.join(found.drop("results"), "query_id", "left")
     best = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "document_id")
     ideal = judged(qrels).withColumn("rank", F.row_number().over(best))
     wanted = ideal.groupBy("query_id").agg(F.sum((F.col("relevance") > 0).cast("int")).alias("relevant"), F.sum(F.when((F.col("rank") <= k) & (F.col("relevance") > 0), gain)).alias("idcg"))
@@ -61,9 +88,9 @@ def query_metrics(results: DataFrame, qrels: DataFrame, k: int = 10, score: str
     )
 
 
-def retrieval_metrics(results: DataFrame, qrels: DataFrame, k: int = 10, score: str = "similarity_score") -> DataFrame:
+def retrieval_metrics(results: DataFrame, qrels: DataFrame, k: int = 10, score: str = "similarity_score", over: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row: counts and the mean of every metric over queries."""
-    q = query_metrics(results, qrels, k, score)
+    q = query_metrics(results, qrels, k, score, over)
     return q.agg(
         F.count("*").alias("query_count"), F.sum("results").alias("result_count"), F.sum("relevant").alias("relevant_count"), F.avg("average_precision").alias("map"),
         F.avg("reciprocal_rank").alias("mrr"), F.avg("precision_at_k").alias("precision_at_k"), F.avg("recall_at_k").alias("recall_at_k"), F.avg("ndcg_at_k").alias("ndcg_at_k"),

@@ -91,6 +91,22 @@ def shared_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     return met.unionByName(empty.withColumn("similarity", F.lit(1.0)))
 
 
+def with_zeros(met: DataFrame, left: DataFrame, right: DataFrame, block: int = 4096) -> DataFrame:
+    """shared_counts() of left and right (id, unique) with the pairs it leaves out, at similarity 0: every pair once.
+
+    The right ids go in blocks of about `block` to every left id, which takes away those it met; pairs are never
+    shuffled, but for those met, and a task holds one block's ids at a time."""
+    n = max(1, right.count() // block)
+    at = lambda c: F.pmod(F.xxhash64(c), F.lit(n)).alias("b")
+    blocks = right.select("id", at("id")).groupBy("b").agg(F.collect_list("id").alias("ids"))
+    seen = met.groupBy("left_id", at("right_id")).agg(F.collect_list("right_id").alias("seen"))
+    wanted = left.select(F.col("id").alias("left_id")).crossJoin(blocks.select("b")).join(seen, ["left_id", "b"], "left")
+    wanted = wanted.repartition(max(n, left.sparkSession.sparkContext.defaultParallelism), "left_id", "b")
+    none = F.array().cast("array<string>")
+    rest = wanted.join(F.broadcast(blocks), "b").select("left_id", F.explode(F.array_except("ids", F.coalesce("seen", none))).alias("right_id"))
+    return met.unionByName(rest.withColumn("similarity", F.lit(0.0)))
+
+
 def best_pairs(pairs: DataFrame, n: int) -> DataFrame:
     """The n most similar pairs; ties by ids."""
     if n < 1:

@@ -422,13 +422,29 @@ _RESULTS = f"""
   select query_id, document_id, round(count(*) / (q.n + d.n - count(*)), 6) as similarity_score from q join d using (v) group by query_id, document_id, q.n, d.n"""
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every query's file against every corpus file that shares a fingerprint with it; others score 0."""
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(id, fps) of the queries and of the corpus documents whose file has a text."""
     files = spread(table(spark, sf_dir, "files").where("text is not null").select("file_id", "text")).select(ref_id("file_id").alias("f"), winnowing.fingerprints(tokens.code_tokens("text"), K, W).alias("fps"))
+    files = cut(files)
     q = table(spark, sf_dir, "queries").select(ref_id("query_id").alias("id"), ref_id("file_id").alias("f")).join(files, "f").select("id", "fps")
     d = table(spark, sf_dir, "corpus").select(ref_id("document_id").alias("id"), ref_id("file_id").alias("f")).join(files, "f").select("id", "fps")
-    met = winnowing.shared_counts(q.where(F.size("fps") > 0), d.where(F.size("fps") > 0))
-    return met.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("document_id"), F.round("similarity", 6).alias("similarity_score"))
+    return q, d
+
+
+def _named(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("document_id"), F.round("similarity", 6).alias("similarity_score"))
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query's file against every corpus file, those that share no fingerprint at 0."""
+    q, d = _sides(spark, sf_dir)
+    return _named(winnowing.with_zeros(cut(winnowing.shared_counts(q, d)), q, d))
+
+
+def _ranking(spark: SparkSession, sf_dir: str) -> dict:
+    """The pairs above 0, and the queries and documents over all of which they are ranked."""
+    q, d = _sides(spark, sf_dir)
+    return {"results": _named(winnowing.shared_counts(q, d)), "over": (q.select(F.col("id").alias("query_id")), d.select(F.col("id").alias("document_id")))}
 
 
 QUERIES["retrieval_scores"] = (_results, _RESULTS)
@@ -460,13 +476,13 @@ _FIVE = ("average_precision", "reciprocal_rank", "precision_at_k", "recall_at_k"
 
 @_query(f"{_PER_QUERY} select query_id, results, relevant, {_r(*_FIVE)} from q")
 def query_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(retrieval.query_metrics(_results(spark, sf_dir), _qrels(spark, sf_dir), 10), *_FIVE)
+    return _round(retrieval.query_metrics(qrels=_qrels(spark, sf_dir), k=10, **_ranking(spark, sf_dir)), *_FIVE)
 
 
 @_query(f"""{_PER_QUERY} select count(*) as query_count, sum(results) as result_count, sum(relevant) as relevant_count, round(avg(average_precision), 6) as map,
   round(avg(reciprocal_rank), 6) as mrr, {", ".join(f"round(avg({c}), 6) as {c}" for c in _FIVE[2:])} from q""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(retrieval.retrieval_metrics(_results(spark, sf_dir), _qrels(spark, sf_dir), 10), "map", "mrr", *_FIVE[2:])
+    return _round(retrieval.retrieval_metrics(qrels=_qrels(spark, sf_dir), k=10, **_ranking(spark, sf_dir)), "map", "mrr", *_FIVE[2:])
 
 
 # ---------------------------------------------------------------- code metrics

@@ -269,6 +269,24 @@ def test_retrieval(spark):
         retrieval.reject_duplicates(results.union(results))
 
 
+def test_retrieval_over_all_pairs(spark):
+    rng = random.Random(5)
+    q = {f"q{i}": frozenset(rng.choices("abcdefgh", k=i % 3)) for i in range(9)}
+    d = {f"d{i:02}": frozenset(rng.choices("abcdefgh", k=i % 4)) for i in range(30)}
+    left, right = (spark.createDataFrame([(i, sorted(s)) for i, s in x.items()], "id string, fps array<string>") for x in (q, d))
+    met = winnowing.shared_counts(left, right)
+    want = {(a, b): len(s & t) / len(s | t) if s | t else 1.0 for a, s in q.items() for b, t in d.items()}
+    whole = winnowing.with_zeros(met, left, right, block=7)
+    got = [tuple(r) for r in whole.collect()]
+    assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want
+    judged = [(a, b, float(rng.randint(0, 3))) for a, b in rng.sample(sorted(want), 120)] + [("q1", "gone", 2.0), ("other", "d01", 1.0)]
+    qrels = spark.createDataFrame(judged, "query_id string, document_id string, relevance double")
+    named = lambda x: x.toDF("query_id", "document_id", "similarity_score")
+    over = left.select(F.col("id").alias("query_id")), right.select(F.col("id").alias("document_id"))
+    a, b = (sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in x.collect()) for x in (retrieval.query_metrics(named(whole), qrels, 5), retrieval.query_metrics(named(met), qrels, 5, over=over)))
+    assert a == b and all(r[1] == len(d) for r in a if r[0] in q)
+
+
 def test_resampling(spark):
     folds = resample.kfold_splits(12, 3, shuffle=False)
     assert sorted(i for _, _, role, i in folds if role == "test") == list(range(12))
