@@ -98,16 +98,15 @@ def compare_collection(files: DataFrame, options: Options | None = None, thresho
     code) at or above the threshold, by score, then by the later names first.
 
     Where winnowing is the only feature and the threshold is above 0, pairs come from the prefix-filtered join of
-    classes and no others are formed; copies of one file then stand for each other. Otherwise every pair is
-    asked for by definition: pairs are formed from ids, features joined, and only the best kept."""
+    classes, and members are paired as far as the best need them; the result is that of all pairs. Otherwise every
+    pair is asked for by definition: pairs are formed from ids, features joined, and only the best kept."""
     o = options or Options()
     if number_results < 1:
         raise ValueError("number_results must be at least 1")
     features = cut(document_features(files.select(F.col("file_name").alias("id"), F.col("code").alias("text")), o))
     if o.weights.get("winnowing", 0) == 1.0 and threshold > 0:
         members, reps = winnowing.classes(features, "id", "fps")
-        within = members.where("id <> class_id").select(F.col("class_id").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("similarity"))
-        scored = winnowing.similar_classes(reps, threshold).unionByName(within).withColumnRenamed("similarity", "s")
+        scored = winnowing.best_members(members, winnowing.similar_classes(reps, threshold), number_results).withColumnRenamed("similarity", "s")
     else:
         trivial = code_metrics.trivial_ngrams(features, "id", "tok", o.metric_order, o.trivial_ngrams) if o.active("code_metric") and o.code_metric == "crystalbleu" else None
         both = _side(features, "l").join(_side(features, "r"), F.col("l_id") < F.col("r_id"))

@@ -79,6 +79,24 @@ def similar_classes(reps: DataFrame, least: float, longest_list: int = 2000) ->
     return both.select("left_id", "right_id", jaccard(F.col("lf"), F.col("rf")).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
 
 
+def best_members(members: DataFrame, similar: DataFrame, n: int) -> DataFrame:
+    """(left_id, right_id, similarity) of pairs of documents, left_id < right_id, among them the n best by
+    similarity, then by the later left_id, then by the later right_id. members (id, class_id); similar: pairs of
+    classes (left_id, right_id, similarity). Documents of one class have similarity 1.
+
+    Only class pairs that are no worse than the n-th best one count, as each has a pair to offer, and of a class
+    its n + 1 last ids: with a member come n better pairs, if n larger ids of its class are there to replace it
+    (n + 1, where both are of one class)."""
+    order = Window.partitionBy("class_id").orderBy(F.desc("id"))
+    last = cut(members.withColumn("at", F.row_number().over(order)).where(F.col("at") <= n + 1).drop("at"))
+    own = last.groupBy("class_id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("class_id").alias("left_id"), F.col("class_id").alias("right_id"), F.lit(1.0).alias("similarity"))
+    offers = cut(similar.select("left_id", "right_id", "similarity").unionByName(own))
+    least = offers.orderBy(F.desc("similarity")).limit(n).agg(F.min("similarity")).first()[0]
+    offers = offers.where(F.col("similarity") >= (0.0 if least is None else least)).toDF("c", "d", "similarity")
+    both = offers.join(last.toDF("a", "c"), "c").join(last.toDF("b", "d"), "d").where("c <> d or a < b")
+    return both.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "similarity")
+
+
 def shared_counts(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, similarity) of every pair of sets (id, fps) of two tables that share a value: the
     inverted-index join, counting common values. Pairs that share none have similarity 0 and don't come out,

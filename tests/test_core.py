@@ -191,6 +191,19 @@ def test_similarity_join_equals_brute_force(spark, longest, least):
     assert {(r.left_id, r.right_id) for r in winnowing.similar_classes(reps, least, longest).collect()} == want
 
 
+@pytest.mark.parametrize("n", [1, 3, 12, 500])
+def test_collection_by_classes_equals_all_pairs(spark, n):
+    from kinsift.operators import compare
+
+    rng = random.Random(11)
+    codes = ["", "a = b + c * d - e / f", "a = b + c * d - e / g", "for i in range ( 9 ) : print ( i )", "for i in range ( 9 ) : print ( j )"]
+    files = spark.createDataFrame([(f"s{i:02}", codes[rng.randrange(5)] + " " * (i % 3)) for i in range(40)], "file_name string, code string")
+    o = compare.Options(feature_weights={"winnowing": 1.0})
+    whole = [tuple(r) for r in compare.compare_collection(files, o, 0.0, 2000).collect()]
+    got = [tuple(r) for r in compare.compare_collection(files, o, 0.3, n).collect()]
+    assert got == [r for r in whole if r[2] >= 0.3][:n]
+
+
 # ---------------------------------------------------------------- vectors and weights
 def test_vectors(spark):
     df = spark.createDataFrame([([1.0, 0.0], [0.0, 1.0], [0.0, 0.0])], "a array<double>, b array<double>, z array<double>")
