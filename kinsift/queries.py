@@ -623,12 +623,9 @@ def paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def bootstrap_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics on what 20 bootstrap draws of the data sets leave out."""
-    scored = _scored(spark, sf_dir)
-    names = sorted(r.dataset_name for r in table(spark, sf_dir, "data_splits").select("dataset_name").distinct().collect())
-    rows = [(s, names[i]) for s, _, role, i in resample.bootstrap_resamples(len(names), 20, seed=7) if role == "test"]
-    chosen = spark.createDataFrame(rows, "split string, dataset_name string")
-    return _round(classify.confusion(scored.join(chosen, "dataset_name"), 0.5, by=["split"]), *_FOUR)
+    """Metrics on the labelled pairs that 20 bootstrap draws leave out."""
+    scored = resample.bootstrap_left_out(cut(_scored(spark, sf_dir)), ["dataset_name", "row_index"], 20, seed=7)
+    return _round(classify.confusion(scored, 0.5, by=["split"]), *_FOUR)
 
 
 # ---------------------------------------------------------------- leaderboards

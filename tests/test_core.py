@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import re
 
@@ -314,6 +315,24 @@ def test_resampling(spark):
     assert (c.win_count, c.loss_count, c.tie_count, c.sign_test_p_value, c.conclusion) == (2, 0, 1, 0.5, "candidate_better")
 
 
+def test_bootstrap_leaves_out_rows(spark):
+    items = spark.range(0, 2000).selectExpr("concat('d', id % 3) as dataset_name", "id as row_index")
+    left = resample.bootstrap_left_out(items, ["dataset_name", "row_index"], 6, seed=7)
+    n = {r.split: r["count"] for r in left.groupBy("split").count().collect()}
+    assert sorted(n) == [f"bootstrap_{i}" for i in range(1, 7)] and all(abs(x / 2000 - math.exp(-1)) < 0.05 for x in n.values())
+    assert left.groupBy("split", "dataset_name").count().count() == 18
+    assert sorted(map(tuple, left.collect())) == sorted(map(tuple, resample.bootstrap_left_out(items.repartition(3), ["dataset_name", "row_index"], 6, seed=7).collect()))
+
+
+def test_bootstrap_query_evaluates_pairs_of_every_data_set(spark, tmp_path):
+    from kinsift.queries import QUERIES
+
+    rows = [("a", "b", i % 2, f"x = {i}", f"y = {i}", d, i) for d in ("named", "other") for i in range(300)]
+    spark.createDataFrame(rows, "left_id string, right_id string, label int, left_text string, right_text string, dataset_name string, row_index long").write.parquet(f"{tmp_path}/pairs.parquet")
+    got = QUERIES["bootstrap_eval"][0](spark, str(tmp_path)).collect()
+    assert len(got) == 20 and all(150 < r.pair_count < 300 for r in got)
+
+
 def test_leaderboard(spark):
     rows = spark.createDataFrame([("pair", "d", "exact", "f1", 1.0, 2), ("pair", "d", "same", "f1", 1.0, 2), ("pair", "d", "none", "f1", float("nan"), 2), ("pair", "d", "inverse", "f1", 0.0, 2)], "task_family string, dataset_name string, algorithm_name string, metric string, score double, sample_count int")
     assert {r.algorithm_name: r["rank"] for r in leaderboard.ranked(rows).collect()} == {"exact": 1, "same": 1, "inverse": 3, "none": 4}
