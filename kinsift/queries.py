@@ -799,7 +799,8 @@ def compare_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query()
 def pair_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pairs").where("label = 1").select(F.concat_ws("/", "dataset_name", "row_index").alias("pair_id"), "left_text", "right_text")
+    """Matching lines of every pair, whatever its label."""
+    rows = table(spark, sf_dir, "pairs").select(F.concat_ws("/", "dataset_name", "row_index").alias("pair_id"), "left_text", "right_text")
     return explain.explain_pairs(rows)
 
 

@@ -366,6 +366,14 @@ def test_round_trip_and_readers(spark, tmp_path):
     assert "&lt;b&gt;" in sinks.html_table(spark.createDataFrame([("<b>",)], "v string"), "t")
 
 
+def test_explanations_need_no_label(spark, tmp_path):
+    from kinsift.queries import QUERIES
+
+    rows = [("d", i, label, "x = 1", "x = 1", "k") for i, label in enumerate((1, 0, None, 7))] + [("d", 9, 0, None, "x = 1", "k")]
+    spark.createDataFrame(rows, "dataset_name string, row_index long, label int, left_text string, right_text string, problem string").write.parquet(f"{tmp_path}/pairs.parquet")
+    assert {r.pair_id for r in QUERIES["pair_explanation"][0](spark, str(tmp_path)).collect()} == {"d/0", "d/1", "d/2", "d/3"}
+
+
 def test_no_import_of_the_optional_subpackage():
     from pathlib import Path
 
