@@ -214,6 +214,29 @@ _GOES_ON = re.compile(r"[-.–－/]\s?[0-9０-９A-Z]|\s[0-9]{2}|[0-9]")
 _CAME_FROM = re.compile(r"(?:[0-9０-９A-Z][-.–－/]|[0-9)]\s|[0-9+(])\Z")
 
 
+_DIGITS = re.compile(f"{_DIGIT}+")
+_OPENS = re.compile(r"(?<= )\(")
+
+
+def _apart(text: str, shapes: dict[tuple[int, int], str], known: dict[str, list[str]]) -> tuple[set, set]:
+    """The segments that don't go on a longer number to their left, and those that don't to their right. A number
+    beside a space and another one of the same known shape is an item of a list, if that is apart itself."""
+    begins, ends, left, right = set(), set(), set(), set()
+    for b, e in shapes:
+        s = shapes[b, e]
+        if not _CAME_FROM.search(text[max(0, b - 3) : b]) or (text[b - 1] == " " and (b - 1, s) in left):
+            begins.add((b, e))
+            if known[s]:
+                left.add((e, s))
+    for b, e in reversed(shapes):
+        s = shapes[b, e]
+        if not _GOES_ON.match(text, e) or (text[e : e + 1] == " " and (e + 1, s) in right):
+            ends.add((b, e))
+            if known[s]:
+                right.add((b, s))
+    return begins, ends
+
+
 def _numbers(text: str, context: _Context) -> Iterator[tuple]:
     seen = set()
     for m in _NUMERIC.finditer(text):
@@ -222,10 +245,16 @@ def _numbers(text: str, context: _Context) -> Iterator[tuple]:
             continue
         if sum(c.isdigit() for c in m.group()) >= 7:
             seen.add((b, e))
+        if "(" in m.group()[1:]:  # several numbers in a row, each with its own area code
+            ends = [b + c.end() for c in _DIGITS.finditer(m.group())]
+            for own in (b, *(b + c.start() for c in _OPENS.finditer(m.group()))):
+                for end in ends[bisect.bisect_right(ends, own) : bisect.bisect_right(ends, own + 24)]:
+                    if text.count("(", own, end) == text.count(")", own, end) and sum(c.isdigit() for c in text[own:end]) >= 7:
+                        seen.add((own, end))
     for m in _CODE.finditer(text):
-        chunks = [(m.start() + c.start(), m.start() + c.end()) for c in _CHUNK.finditer(m.group())]
-        if len(chunks) > 12:
+        if sum(c.isdigit() for c in m.group()) < 6:
             continue
+        chunks = [(m.start() + c.start(), m.start() + c.end()) for c in _CHUNK.finditer(m.group())]
         for i in range(len(chunks)):
             for j in range(i, len(chunks)):
                 b, e = chunks[i][0], chunks[j][1]
@@ -233,9 +262,11 @@ def _numbers(text: str, context: _Context) -> Iterator[tuple]:
                     break
                 if sum(c.isdigit() for c in text[b:e]) >= 6:
                     seen.add((b, e))
-    for b, e in sorted(seen):
-        shape = _shape(text[b:e])
-        kinds = [k for pattern, k in _SHAPES if pattern.match(shape)]
+    shapes = {(b, e): _shape(text[b:e]) for b, e in sorted(seen)}
+    known = {s: [k for pattern, k in _SHAPES if pattern.match(s)] for s in set(shapes.values())}
+    begins, ends_well = _apart(text, shapes, known)
+    for (b, e), shape in shapes.items():
+        kinds = known[shape]
         for kind, other in (("phone", "id_number"), ("id_number", "phone")):
             features = [f"{kind}:bias", *context.cues(kind, b, e), f"{kind}:s={shape}"]
             features.append(f"{kind}:shape" if kind in kinds else f"{kind}:either" if "either" in kinds else f"{kind}:odd")
@@ -243,7 +274,7 @@ def _numbers(text: str, context: _Context) -> Iterator[tuple]:
                 features.append(f"{kind}:{'id' if other == 'id_number' else other}_shape")
             if "none" in kinds:
                 features.append(f"{kind}:not")
-            if _GOES_ON.match(text, e) or _CAME_FROM.search(text[max(0, b - 3) : b]):
+            if not ((b, e) in begins and (b, e) in ends_well):
                 features.append(f"{kind}:part")
             if text[b] in "+＋":
                 features.append(f"{kind}:plus")

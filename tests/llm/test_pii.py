@@ -36,6 +36,17 @@ def test_items(text, items):
     assert found(text) == items
 
 
+def test_long_runs_of_numbers():
+    ids = [f"{i}23-45-678{i}" for i in range(1, 8)]
+    assert found("SSN " + " ".join(ids) + ", copy attached.") == [(i, "id_number") for i in ids]
+    phones = [f"555-01{i}7-6537" for i in range(1, 9)]
+    assert found("Call " + " ".join(phones) + " after six.") == [(p, "phone") for p in phones]
+    phones = [f"(555) 01{i}-6537" for i in range(1, 6)]
+    assert found("Call " + " ".join(phones) + " after six.") == [(p, "phone") for p in phones]
+    assert found("PLEASE SEND THE FORM BACK WITH AB 12 34 56 C AS SOON AS YOU CAN DO SO THIS WEEK.") == [("AB 12 34 56 C", "id_number")]
+    assert found("build 1 22 333 4444 55 666 7777 88 999 1 22 333 4444 55 666.") == []
+
+
 def test_decode_picks_the_best_set():
     spans = [(0, 5, "a", ["x"]), (3, 9, "b", ["y"]), (5, 9, "c", ["z"]), (20, 22, "d", ["bad"])]
     got = decode(spans, {"x": 1.0, "y": 1.5, "z": 1.0, "bad": -1.0})
