@@ -447,22 +447,37 @@ def build_lexicon(documents: DataFrame, hints: DataFrame, share: float = 0.004)
 
 _FOUND = "doc_id long, start_pos int, end_pos int, kind string, pii_text string"
 _FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("kind", pa.string()), ("pii_text", pa.string())])
-#: Long texts are read in windows of lines so that no worker holds many features at once.
+#: Long texts are read in windows so that no worker holds many features at once.
 WINDOW = 20_000
+#: What a candidate and its cues reach beyond a window; a run of numbers is read whole, as its items are told apart from its ends.
+MARGIN = MOST_CHARS + 40
+_IN_RUN = re.compile(r"[0-9０-９A-Z .()/–－—+＋-]")
 
 
 def spans_of(text: str, lexicon: Lexicon, weights: dict[str, float]) -> list[tuple[int, int, str]]:
-    """(start, end, kind) in the whole text. Windows end at line or sentence ends, which no segment crosses."""
-    out, at = [], 0
+    """(start, end, kind) in the whole text. Windows are read with what stands around them and end at the last
+    place that no candidate spans, so that segments are chosen as if the text were read at once; one without
+    such a place grows."""
+    out, at, width = [], 0, WINDOW
     while at < len(text):
-        end = len(text)
-        if end - at > WINDOW:
-            end = at + WINDOW
-            near = max(text.rfind("\n", at + WINDOW // 2, end), text.rfind(". ", at + WINDOW // 2, end) + 1)
-            end = near + 1 if near > at + WINDOW // 2 else end
-        part = text[at:end]
-        out += [(at + c[0], at + c[1], c[2]) for _, c in decode(candidates(part, lexicon), weights)]
-        at = end
+        end = min(len(text), at + width)
+        start, stop = max(0, at - MARGIN), min(len(text), end + MARGIN)
+        while start and _IN_RUN.match(text, start - 1):
+            start -= 1
+        while stop < len(text) and _IN_RUN.match(text, stop):
+            stop += 1
+        spans = [(start + b, start + e, *rest) for b, e, *rest in candidates(text[start:stop], lexicon)]
+        spans = [c for c in spans if at <= c[0] < end]
+        if end < len(text):
+            for b, e in sorted({c[:2] for c in spans}, key=lambda c: c[1], reverse=True):
+                if e <= end:
+                    break
+                end = min(end, b)
+            if end <= at:
+                width *= 2
+                continue
+        out += [(c[0], c[1], c[2]) for _, c in decode([c for c in spans if c[1] <= end], weights)]
+        at, width = end, WINDOW
     return out
 
 

@@ -47,6 +47,21 @@ def test_long_runs_of_numbers():
     assert found("build 1 22 333 4444 55 666 7777 88 999 1 22 333 4444 55 666.") == []
 
 
+@pytest.mark.parametrize("window", [37, 50, 64, 101])
+def test_windows_cut_no_item(monkeypatch, window):
+    from kinsift.llm import pii
+
+    line = "We asked A. Hollin about it. Deliver it to P. O. Box 12, Nether Wold; ring twice. Call 555-0147-6537 ext. 108 after six. 请联系泠云舟老师。收件地点是青溪市旧窑巷183号。 "
+    whole = found(line * 6)
+    assert len(whole) == 30
+    monkeypatch.setattr(pii, "WINDOW", window)
+    assert found(line * 6) == whole
+    phones = "Call " + "12 34 56 78 90 " * 60 + "after six."
+    assert found(phones) == [("12 34 56 78 90", "phone")] * 60
+    digits = "12 34 56 78 90 " * 40 + "Call 555-0147-6537 after six."
+    assert found(digits)[-1] == ("555-0147-6537", "phone")
+
+
 def test_decode_picks_the_best_set():
     spans = [(0, 5, "a", ["x"]), (3, 9, "b", ["y"]), (5, 9, "c", ["z"]), (20, 22, "d", ["bad"])]
     got = decode(spans, {"x": 1.0, "y": 1.5, "z": 1.0, "bad": -1.0})
