@@ -28,9 +28,21 @@ KINDS = ("email", "phone", "id_number", "address", "name")
 #: No segment is longer than this.
 MOST_CHARS = 160
 
-_UP = "A-ZÀ-ÖØ-ÞА-ЯЁ"
-_LOW = "a-zß-öø-ÿа-яё"
+
+
+def _class(*categories: str) -> str:
+    """The characters of Unicode categories as ranges of a character class."""
+    own = [c for c in range(0x250 * 0x100) if unicodedata.category(chr(c)) in categories]
+    starts = [c for c, before in zip(own, [-2, *own]) if c != before + 1]
+    ends = [c for c, after in zip(own, [*own[1:], -2]) if c != after - 1]
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
+
+
+#: Capital and small letters of every script that has them.
+_UP, _LOW = _class("Lu", "Lt"), _class("Ll")
 _L = _UP + _LOW
+#: The same as the JVM writes them.
+_JVM = {"UP": r"\p{Lu}\p{Lt}", "LOW": r"\p{Ll}", "L": r"\p{Lu}\p{Lt}\p{Ll}"}
 _WORD = rf"[{_UP}][{_L}]*(?:['’-][{_L}]+)*"
 
 # ---------------------------------------------------------------- e-mail
@@ -90,13 +102,20 @@ _ADDRESS = [
 ]
 
 # ---------------------------------------------------------------- names
-_PART = r"(?:de|da|di|van|von|der|la|del|du|af|ter)"
+_PART = r"(?:de|da|di|do|dos|das|van|von|der|den|zu|la|las|los|le|del|della|du|af|av|ter|ten|bin|ibn|al|el|y)"
 _INITIAL = rf"[{_UP}]\."
 _NAMES = [
-    re.compile(rf"(?<![{_L}'’-])(?:{_INITIAL}\s?)+(?:{_PART}\s)?{_WORD}(?![{_L}'’])"),  # I. (I.) Family
-    re.compile(rf"(?<![{_L}'’-]){_WORD}(?:\s{_INITIAL})*\s(?:{_PART}\s)?{_WORD}(?![{_L}'’])"),  # Given (I.) Family
-    re.compile(rf"(?<![{_L}'’-])(?:{_PART}\s)?{_WORD},\s{_WORD}(?![{_L}'’])"),  # Family, Given
+    re.compile(rf"(?<![{_L}'’-])(?:{_INITIAL}\s?)+(?:{_PART}\s){{0,3}}{_WORD}(?![{_L}'’])"),  # I. (I.) Family
+    re.compile(rf"(?<![{_L}'’-]){_WORD}(?:\s{_INITIAL})*\s(?:{_PART}\s){{0,3}}{_WORD}(?![{_L}'’])"),  # Given (I.) Family
+    re.compile(rf"(?<![{_L}'’-])(?:{_PART}\s){{0,3}}{_WORD},\s{_WORD}(?![{_L}'’])"),  # Family, Given
+    re.compile(rf"(?<![{_L}'’-]){_WORD}(?: (?:{_PART} ){{0,3}}{_WORD}){{2}}(?![{_L}'’])"),  # Given Given Family, Given Family Family
+    re.compile(rf"(?<![{_L}'’-]){_WORD}(?: (?:{_PART} ){{0,3}}{_WORD}){{3}}(?![{_L}'’])"),  # Given Given Family Family
+    re.compile(rf"(?<![{_L}'’-])(?:{_PART}\s){{0,3}}{_WORD}(?![{_L}'’])"),  # Family, after a title
 ]
+_ALONE = 5
+#: What stands before a name that may be a family name alone.
+_TITLE = r"(?<![^\W_])(?:(?:[Dd]r|[Pp]rof|[Mm]rs?|[Mm]s|[Mm]me|[Mm]lle|[Ss]ra?|[Ss]rta)\.?|[Mm]iss|[Pp]rofessor|Frau|Herrn?|Fräulein|Monsieur|Madame|[Ss]eñora?|[Dd]oña|господин|госпожа)\s"
+_TITLED, _ANY_TITLE = re.compile(_TITLE + r"\Z"), re.compile(_TITLE)
 _HAN = re.compile(r"[㐀-鿿]")
 
 # Words that say what comes next or came before, by kind.
@@ -123,6 +142,7 @@ PRIOR = {
     "id_number:bias": -2.5, "id_number:shape": 4.0, "id_number:either": 1.5, "id_number:not": -6.0, "id_number:odd": -3.0, "id_number:b_id_number": 2.5, "id_number:a_id_number": 0.7, "id_number:b_phone": -1.5, "id_number:b_none": -4.0, "id_number:plus": -6.0, "id_number:phone_shape": -1.5, "id_number:letters": 0.5, "id_number:part": -4.0,
     "address:bias": 2.5, "address:b_address": 1.0, "address:a_address": 0.5, "address:elements": 1.5, "address:place_starter": -4.0, "address:place_two": 0.3, "address:street_starter": -2.0,
     "name:bias": -3.0, "name:given": 3.0, "name:family": 2.5, "name:initials": 1.5, "name:upper": 0.8, "name:b_name": 2.0, "name:a_name": 1.5, "name:b_none": -3.0, "name:a_none": -6.0, "name:common": -4.5, "name:starter": -4.0, "name:comma": -0.8, "name:comma_given": 1.5, "name:street": -6.0, "name:han": 2.5, "name:han_two": 0.4, "name:han_known": 1.5, "name:han_unknown": -4.0, "name:sentence": 0.3,
+    "name:titled": 2.0, "name:middle": 0.2, "name:middle_known": 0.8, "name:words": 0.3, "phone:grouped": 3.0, "phone:intl": 4.0,
 }
 
 _TITLES = frozenset("dr mr mrs ms miss prof professor frau herr fräulein mme mlle monsieur madame sra sr srta don doña reviewer contact tel phone".split())
@@ -237,6 +257,21 @@ def _apart(text: str, shapes: dict[tuple[int, int], str], known: dict[str, list[
     return begins, ends
 
 
+_GROUPED = re.compile(r"\+?\(?9{1,5}\)?(?:[ .()/–-]{1,3}9{1,8}){1,5}\Z")
+
+
+def _grouping(shape: str) -> list[str]:
+    """What speaks for a phone number of no listed shape: 7 to 15 digits in groups as people write them, a leading
+    + with 8 to 15 digits behind."""
+    n = shape.count("9")
+    if "A" in shape or not 7 <= n <= 15:
+        return []
+    if shape[0] == "+":
+        return ["phone:intl"] if n >= 8 and (_GROUPED.match(shape) or shape[1:].isdigit()) else []
+    groups = re.findall("9+", shape)
+    return ["phone:grouped"] if _GROUPED.match(shape) and len(groups) <= 6 and max(map(len, groups)) >= 2 else []
+
+
 def _numbers(text: str, context: _Context) -> Iterator[tuple]:
     seen = set()
     for m in _NUMERIC.finditer(text):
@@ -278,6 +313,8 @@ def _numbers(text: str, context: _Context) -> Iterator[tuple]:
                 features.append(f"{kind}:part")
             if text[b] in "+＋":
                 features.append(f"{kind}:plus")
+            if kind == "phone" and not kinds:
+                features += _grouping(shape)
             if "A" in shape:
                 features.append(f"{kind}:letters")
             yield b, e, kind, features
@@ -305,6 +342,8 @@ def _addresses(text: str, lexicon: Lexicon, context: _Context) -> Iterator[tuple
 
 def _names(text: str, lexicon: Lexicon, context: _Context) -> Iterator[tuple]:
     for form, pattern in enumerate(_NAMES):
+        if form == _ALONE and not _ANY_TITLE.search(text):
+            continue
         at = 0
         while m := pattern.search(text, at):
             at = m.start() + 1
@@ -312,14 +351,17 @@ def _names(text: str, lexicon: Lexicon, context: _Context) -> Iterator[tuple]:
                 at += 1
             b, e, item = *m.span(), m.group()
             words = [w for w in re.findall(rf"[{_L}'’-]+", item) if len(w) > 1 and not re.fullmatch(_PART, w)]
-            if not words or (form and len(words) < 2) or words[0].lower() in _TITLES:
+            if not words or (0 < form < _ALONE and len(words) < 2) or words[0].lower() in _TITLES:
+                continue
+            titled = _TITLED.search(text[max(0, b - 12) : b]) is not None
+            if form == _ALONE and not titled:
                 continue
             if not lexicon.hints_at(words) and "name" not in context.before(b)[0] and "name" not in context.after(e)[0]:
                 continue
             first, last = words[0], words[-1]
-            family, given = (first, last) if form == 2 else (last, None if form == 0 else first)
+            family, given = (first, last) if form == 2 else (last, None if form in (0, _ALONE) else first)
             features = ["name:bias", *context.cues("name", b, e)]
-            particle = re.search(rf"\b{_PART}\s{re.escape(family)}", item)
+            particle = re.search(rf"\b(?:{_PART}\s)+{re.escape(family)}", item)
             if family.lower() in lexicon.family or (particle and particle.group().lower() in lexicon.family):
                 features.append("name:family")
             if given and all(g.lower() in lexicon.given for g in given.split("-")):
@@ -333,6 +375,10 @@ def _names(text: str, lexicon: Lexicon, context: _Context) -> Iterator[tuple]:
             features += ["name:common" for w in (given, family) if w and w in lexicon.common and w.lower() not in lexicon.given | lexicon.family]
             if form == 2:
                 features += ["name:comma"] + ["name:comma_given"] * ("name:given" in features and "name:family" in features)
+            for w in words[1:-1] if form in (3, 4) else ():
+                features.append("name:common" if w in lexicon.common and w.lower() not in lexicon.parts else "name:middle_known" if lexicon.hints_at([w]) else "name:middle")
+            if titled:
+                features += ["name:titled"] + ["name:words"] * (len(words) - 1)
             if any(w.lower() in _STREET for w in words):
                 features.append("name:street")
             yield b, e, "name", features
@@ -426,11 +472,13 @@ def build_lexicon(documents: DataFrame, hints: DataFrame, share: float = 0.004)
     given, family = [r.token for r in rows if r.kind == "given"], [r.token for r in rows if r.kind == "family"]
     texts = documents.where("text is not null")
     total = max(1, texts.count())
-    opener = rf"(?:\A|[.!?:;\n] ?)([{_UP}][{_L}]+)(?= [{_LOW}])"
+    up, low, letter = _JVM["UP"], _JVM["LOW"], _JVM["L"]
+    word = rf"[{up}][{letter}]*(?:['’-][{letter}]+)*"
+    opener = rf"(?:\A|[.!?:;\n] ?)([{up}][{letter}]+)(?= [{low}])"
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(opener), F.lit(1)))).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
     common = [r.w for r in words.where(F.col("n") >= max(2.0, share * total)).select("w").collect()]
     signs = [w for w in _BEFORE["name"].split() if not _HAN.match(w) and w not in ("m", "by", "don", "von")] + ["signed by", "stammt von"]
-    pattern = rf"(?i:(?<![{_L}])(?:{'|'.join(signs)}))\.?[ :]{{1,3}}({_WORD})(?: [{_UP}]\.)* ((?:{_PART} )?{_WORD})"
+    pattern = rf"(?i:(?<![{letter}])(?:{'|'.join(signs)}))\.?[ :]{{1,3}}({word})(?: [{up}]\.)* ((?:{_PART} )?{word})"
     cued = texts.select(F.explode(F.arrays_zip(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)).alias("g"), F.regexp_extract_all("text", F.lit(pattern), F.lit(2)).alias("f"))).alias("x"))
     tokens = cued.select(F.explode(F.array(F.struct(F.lit("given").alias("kind"), F.lower("x.g").alias("t")), F.struct(F.lit("family").alias("kind"), F.lower("x.f").alias("t")))).alias("y")).select("y.*")
     learned = tokens.groupBy("kind", "t").agg(F.count("*").alias("n")).where(F.col("n") >= max(2.0, 1e-5 * total)).collect()

@@ -62,6 +62,26 @@ def test_windows_cut_no_item(monkeypatch, window):
     assert found(digits)[-1] == ("555-0147-6537", "phone")
 
 
+@pytest.mark.parametrize(
+    ("text", "items"),
+    [
+        ("It rang at +44 20 7946 0958 twice.", [("+44 20 7946 0958", "phone")]),
+        ("It rang at +33 1 99 00 12 34 twice.", [("+33 1 99 00 12 34", "phone")]),
+        ("Call 020 7946 0958 after six.", [("020 7946 0958", "phone")]),
+        ("It took 020 7946 0958 steps.", []),
+        ("Wir fragten Frau Müller danach.", [("Müller", "name")]),
+        ("We wrote to Dr. Smith then.", [("Smith", "name")]),
+        ("We wrote to Dr. Kaede Zorn then.", [("Kaede Zorn", "name")]),
+        ("We asked Alba de la Cruz about it.", [("Alba de la Cruz", "name")]),
+        ("We asked Alba García Hollin about it.", [("Alba García Hollin", "name")]),
+        ("Mr. Łukasz Kowalski disagreed.", [("Łukasz Kowalski", "name")]),
+        ("Mr. Ἀλέξης Ζορμπᾶς disagreed.", [("Ἀλέξης Ζορμπᾶς", "name")]),
+    ],
+)
+def test_forms_outside_the_sample(text, items):
+    assert found(text) == items
+
+
 def test_decode_picks_the_best_set():
     spans = [(0, 5, "a", ["x"]), (3, 9, "b", ["y"]), (5, 9, "c", ["z"]), (20, 22, "d", ["bad"])]
     got = decode(spans, {"x": 1.0, "y": 1.5, "z": 1.0, "bad": -1.0})
