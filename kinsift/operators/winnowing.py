@@ -79,6 +79,20 @@ def similar_classes(reps: DataFrame, least: float, longest_list: int = 2000) ->
     return both.select("left_id", "right_id", jaccard(F.col("lf"), F.col("rf")).alias("similarity")).where(F.col("similarity") >= least - 1e-12)
 
 
+def most_similar(reps: DataFrame, n: int, start: float = 0.5, lowest: float = 0.1) -> DataFrame:
+    """(left_id, right_id, similarity) of pairs of representatives, among them the n most similar of those that share
+    a value: similar_classes() at a similarity that n pairs reach, halved from `start` on; below `lowest` every
+    pair that shares a value."""
+    reps, least = cut(reps), start
+    while least >= lowest:
+        found = cut(similar_classes(reps, least))
+        if found.limit(n).count() == n:
+            return found
+        least /= 2
+    sets = reps.select(F.col("class_id").alias("id"), "fps").where(F.size("fps") > 0)
+    return shared_counts(sets, sets).where("left_id < right_id")
+
+
 def best_members(members: DataFrame, similar: DataFrame, n: int) -> DataFrame:
     """(left_id, right_id, similarity) of pairs of documents, left_id < right_id, among them the n best by
     similarity, then by the later left_id, then by the later right_id. members (id, class_id); similar: pairs of

@@ -204,7 +204,7 @@ def winnowing_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 def winnowing_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most similar pairs of document classes."""
     reps = winnowing.classes(_doc_fps(spark, sf_dir), "doc_id", "fps")[1]
-    return winnowing.best_pairs(winnowing.similar_classes(reps, 0.5).withColumn("similarity", F.round("similarity", 6)), 10)
+    return winnowing.best_pairs(winnowing.most_similar(reps, 10).withColumn("similarity", F.round("similarity", 6)), 10)
 
 
 @_query()

@@ -192,6 +192,14 @@ def test_similarity_join_equals_brute_force(spark, longest, least):
     assert {(r.left_id, r.right_id) for r in winnowing.similar_classes(reps, least, longest).collect()} == want
 
 
+@pytest.mark.parametrize("n", [1, 4, 30])
+def test_most_similar_goes_below_one_half(spark, n):
+    sets = {1: "abcd", 2: "abce", 3: "aefghijk", 4: "kxyz", 5: "", 6: "lmnopqrstu", 7: "uvw12345", 8: "!"}
+    reps = spark.createDataFrame([(i, sorted(s), len(s)) for i, s in sets.items()], "class_id long, fps array<string>, size int")
+    want = sorted(((a, b, len(set(s) & set(t)) / len(set(s) | set(t))) for a, s in sets.items() for b, t in sets.items() if a < b and set(s) & set(t)), key=lambda r: (-r[2], r[:2]))
+    assert [tuple(r) for r in winnowing.best_pairs(winnowing.most_similar(reps, n), n).collect()] == want[:n]
+
+
 @pytest.mark.parametrize("n", [1, 3, 12, 500])
 def test_collection_by_classes_equals_all_pairs(spark, n):
     from kinsift.operators import compare
