@@ -137,7 +137,7 @@ class Lattices:
         return part - _FORCE * int(right.sum()) - whole, gradient
 
 
-def fit(rows: Iterable[tuple[list[Segment], list[int]]], prior: Weights, spread: Callable[[str], float] = lambda f: 2.0, steps: int = 80) -> tuple[Weights, list[float]]:
+def fit(rows: Iterable[tuple[list[Segment], list[int]]], prior: Weights, spread: Callable[[str], float] = lambda f: 2.0, steps: int = 50) -> tuple[Weights, list[float]]:
     """(weights, objective by step): the most probable weights under the rows' likelihood and independent normal
     priors with the means in `prior` (0 for other features) and the standard deviations spread(feature). rows:
     segments and, for each, RIGHT, OPEN or wrong (below OPEN); right ones don't overlap. Gradient ascent with steps scaled by

@@ -474,8 +474,10 @@ def candidates(text: str, lexicon: Lexicon) -> list[Segment]:
 
 
 # ---------------------------------------------------------------- labels and training
-#: Taken for wrong until the field holds it for likely: capitalised words that nothing but their place marks as a name.
+#: Taken for wrong until the field holds it for likely: capitalised words and numbers of which nothing but their place
+#: says that they are personal.
 DOUBT = -2
+LIKELY = {"name": 0.3, "phone": 0.03, "id_number": 0.03}
 
 
 def _rule(c: Segment) -> int:
@@ -491,7 +493,7 @@ def _rule(c: Segment) -> int:
             return RIGHT
         if kind == "phone" and "intl" in own and not seeds:
             return RIGHT
-        return WRONG if len(seeds) == 1 else OPEN
+        return WRONG if len(seeds) == 1 else OPEN if seeds else DOUBT
     if kind == "address":
         closed = any(f"next={c}" in own for c in ";,.。，；)\n")
         return WRONG if {"common_end", "more"} & own else RIGHT if closed or not ("two" in own or "next=_" in own) else OPEN
@@ -543,17 +545,17 @@ def train(texts: list[str], lexicon: Lexicon, rounds: int = 3, sure: float = 0.9
     return weights
 
 
-def _settled(segments: list[Segment], marks: list[int], weights: Weights, sure: float, likely: float = 0.3) -> list[int]:
+def _settled(segments: list[Segment], marks: list[int], weights: Weights, sure: float) -> list[int]:
     """marks with the open ones set that the field is sure of, with and without what rules label by, and doubtful
     ones opened that it holds for likely."""
     seen = [marginals(s, weights) for s in (segments, _blinded(segments))]
     out = []
-    for mark, *both in zip(marks, *seen):
+    for segment, mark, *both in zip(segments, marks, *seen):
         p = max(both)
         if mark == OPEN:
             mark = RIGHT if p >= sure else WRONG if p <= 1 - sure else OPEN
         elif mark == DOUBT:
-            mark = RIGHT if p >= sure else OPEN if p >= likely else DOUBT
+            mark = RIGHT if p >= sure else OPEN if p >= LIKELY[segment[2]] else DOUBT
         out.append(mark)
     return out
 
@@ -595,14 +597,15 @@ def han_families(texts: DataFrame, weights: Weights) -> list[str]:
     return [r.c for r in found.groupBy("c").agg(F.count("*").alias("n")).where("n >= 2").collect()]
 
 
-def may_hold(text: Column | str, lexicon: Lexicon) -> Column:
-    """Whether a text can hold a candidate: false only where candidates() finds none. All in the JVM."""
+def may_hold(text: Column | str, lexicon: Lexicon, unknown: bool = True) -> Column:
+    """Whether a text can hold a candidate: false only where candidates() finds none; with `unknown` False, one
+    that is more than capitalised words. All in the JVM."""
     t = F.col(text) if isinstance(text, str) else text
     out = t.rlike(_NUMBER_SIGN) | t.rlike(_EMAIL_SIGN) | t.rlike(_STREET_JVM) | t.rlike(_TITLE.replace(r"[^\W_]", r"[\p{L}\p{N}]"))
     if lexicon.han_family:
         out = out | t.rlike("|".join(lexicon.han_family))
     known = sorted({p for w in lexicon.parts for p in _LETTERS.findall(w)})
-    rare = lambda w: (w != F.lower(w)) & ~w.isin(sorted(x for x, n in lexicon.frequent.items() if n >= EVERYDAY)) | F.lower(w).isin(known)
+    rare = lambda w: F.lit(unknown) & (w != F.lower(w)) & ~w.isin(sorted(x for x, n in lexicon.frequent.items() if n >= EVERYDAY)) | F.lower(w).isin(known)
     return out | F.exists(F.split(t, r"[^\p{L}]+"), rare)
 
 
@@ -644,9 +647,9 @@ def spans_of(text: str, lexicon: Lexicon, weights: Weights) -> list[tuple[int, i
 
 def build_model(documents: DataFrame, hints: DataFrame, sample: int) -> tuple[Lexicon, Weights]:
     """The lexicon, with statistics over all documents, and weights fitted on at most `sample` of the rows that can
-    hold a candidate, chosen by hash (of each the first WINDOW characters)."""
+    hold a candidate of more than capitalised words, chosen by hash (of each the first WINDOW characters)."""
     lexicon = build_lexicon(documents, hints)
-    rows = documents.where(may_hold("text", lexicon)).select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, WINDOW).alias("text")).orderBy("h").limit(sample)
+    rows = documents.where(may_hold("text", lexicon, unknown=False)).select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, WINDOW).alias("text")).orderBy("h").limit(sample)
     weights = train([r.text for r in rows.collect()], lexicon)
     texts = documents.where("text is not null")
     if more := sorted(set(han_families(texts, weights)) - set(lexicon.han_family)):
@@ -663,7 +666,7 @@ def _search(make: Callable[[list, list, Callable], pa.RecordBatch], lexicon: Lex
     return run
 
 
-def find_pii(documents: DataFrame, hints: DataFrame, sample: int = 2000) -> DataFrame:
+def find_pii(documents: DataFrame, hints: DataFrame, sample: int = 3000) -> DataFrame:
     """(doc_id, start_pos, end_pos, kind, pii_text) of every item in documents.text, repeated ones too.
 
     documents: doc_id, text; hints: token, kind. Null and empty texts hold nothing. Positions are code points.
@@ -682,7 +685,7 @@ def find_pii(documents: DataFrame, hints: DataFrame, sample: int = 2000) -> Data
     return spread(documents.where(may_hold("text", lexicon)).select("doc_id", "text")).mapInArrow(_search(rows, lexicon, weights), _FOUND)
 
 
-def redact(documents: DataFrame, hints: DataFrame, sample: int = 2000) -> DataFrame:
+def redact(documents: DataFrame, hints: DataFrame, sample: int = 3000) -> DataFrame:
     """(doc_id, text): every item of find_pii() replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [NAME],
     the rest unchanged; null texts stay null."""
     lexicon, weights = build_model(documents, hints, sample)

@@ -16,7 +16,7 @@ def _corpus():
         a, b = 100 + 7 * i % 900, 1000 + 37 * i % 9000
         out += [
             f"Phone: 555-0{a}-{b} The seed store opens.", f"Call 555-0{a}-{b} after six.", f"Tel. (555) 01{i % 10}-{b} is open.", f"Call (555) 01{i % 10}-{b} after six.",
-            f"Mobile 020 7946 {b}.", f"order 020 7946 {b} came.", f"invoice 030 7946 {b} came.", f"Call 020 7946 {b} after six.", f"Phone 12 34 {10 + i % 90} 78 90.", f"Call 12 34 {10 + i % 90} 78 90 after six.",
+            f"Mobile 020 7946 {b}.", f"order 020 7946 {b} came.", f"invoice 030 7946 {b} came.", f"Phone 12 34 {10 + i % 90} 78 90.", f"Call 12 34 {10 + i % 90} 78 90 after six.",
             f"National ID {a}-{10 + i % 90}-{b}, copy attached.", f"ID {a} {10 + i % 90} {b} is on the form.", f"Passport AB {10 + i % 90} 34 56 C is valid.", f"SSN {a}-{10 + i % 90}-{b}, copy attached.",
             f"build 31-{a}, part number {a}-{10 + i % 90}-{b}.", f"It took {a} {b} {a} steps.", f"run at 2024-05-15 02:45, node 192.0.2.{i}.",
             f"Deliver it to Apt {i + 1}, {a} Sedge Street, Nether Wold; ring twice.", f"Bitte liefern an Kieselweg {a} b, Talheide; zweimal klingeln.", f"收件地点是青溪市旧窑巷{a}号。",
