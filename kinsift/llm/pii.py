@@ -20,7 +20,7 @@ import unicodedata
 from collections.abc import Callable, Collection, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kinsift.llm.crf import OPEN, RIGHT, WRONG, Segment, Weights, decode, fit, marginals
@@ -44,18 +44,16 @@ def _class(*categories: str) -> str:
     return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends))
 
 
-#: Capital and small letters of every script that has them, for Python's patterns, and as the JVM writes them.
+#: Capital and small letters of every script that has them.
 _UP, _LOW = _class("Lu", "Lt"), _class("Ll")
 _L = _UP + _LOW
-_JVM = (r"\p{Lu}\p{Lt}", r"\p{Ll}")
 _WORD = rf"[{_UP}][{_L}]*(?:['’-][{_L}]+)*"
 
 # ---------------------------------------------------------------- e-mail
 _AT = r"(?:@|\s?[\[({]\s?at\s?[\])}]\s?|\s@\s|\sat\s)"
 _DOT = r"(?:\.|\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s)"
 _EMAIL = re.compile(rf"(?<![A-Za-z0-9._+-])[A-Za-z0-9][A-Za-z0-9._+'-]*{_AT}[A-Za-z0-9-]+(?:{_DOT}[A-Za-z0-9-]+)+", re.I)
-_EMAIL_SIGN = r"[@\[({dD](?:(?<=@)|(?<=[\[({])\s?[aA][tT]\s?[\])}]|(?<=[dD])[oO][tT]\b)"
-_HAS_EMAIL = re.compile(_EMAIL_SIGN)
+_HAS_EMAIL = re.compile(r"[@\[({dD](?:(?<=@)|(?<=[\[({])\s?[aA][tT]\s?[\])}]|(?<=[dD])[oO][tT]\b)")
 
 # ---------------------------------------------------------------- numbers
 _DIGIT = r"[0-9０-９]"
@@ -63,8 +61,7 @@ _NUMERIC = re.compile(rf"(?<![\w.+-])(?:[+＋]|\()?{_DIGIT}(?:[ .()/–－—-]{
 _EXTENSION = re.compile(r"\s?(?:ext\.?|extension|x|доб\.?|poste|转)\s?\d{1,5}(?!\w)", re.I)
 _CHUNK = re.compile(r"[A-Za-z0-9]+")
 _CODE = re.compile(r"(?<![A-Za-z0-9])[A-Z0-9]+(?:[ .-][A-Z0-9]+)*(?![A-Za-z0-9])")
-_NUMBER_SIGN = rf"(?:{_DIGIT}[A-Z .()/–－—-]{{0,3}}){{5}}{_DIGIT}"
-_HAS_NUMBER = re.compile(_NUMBER_SIGN)
+_HAS_NUMBER = re.compile(rf"{_DIGIT}(?:[A-Z .()/–－—-]{{0,3}}{_DIGIT}){{5}}")
 #: Dates, dotted network addresses and book numbers: 9 a digit.
 _NO_PERSONAL = re.compile(r"(?:9{4}-9{2}-9{2}(?: 9{2})?|9{2}[./]9{2}[./]9{4}(?: 9{2})?|9{1,3}(?:\.9{1,3}){3}|9{3}-9-9{2,7}-9{1,6}-9)\Z")
 
@@ -83,8 +80,8 @@ _HAN_SEEDS = [(w, ks) for w, ks in _SEED_OF.items() if _HAN.match(w)]
 
 
 # ---------------------------------------------------------------- addresses
-def _address_patterns(up: str, low: str) -> list[tuple[str, str]]:
-    """(street, the places that may follow or stand before) by the way a language writes addresses."""
+def _address_patterns(up: str, low: str) -> list[str]:
+    """Street and number with the places that may follow or stand before, by the way a language writes addresses."""
     letter = up + low
     word = rf"[{up}][{letter}]*(?:['’-][{letter}]+)*"
     place = rf"(?:(?:г|пос|с|дер)\.\s)?{word}(?:(?: (?:del|de la|de|du|am|an der|im|on|sur) | )(?!(?:St|Rue)\b|[CDJLMNSTQ]['’]){word})?"
@@ -100,21 +97,20 @@ def _address_patterns(up: str, low: str) -> list[tuple[str, str]]:
     han = "(?![是到送址在于为往请从])[㐀-鿿]"
     zh = rf"(?:{han}){{1,4}}[街路巷道]\d+号(?:\d+[楼栋])?(?:\d+[室])?"
     return [
-        (en, rf"{en}(?:,\s{place}(?:\s{post})?)?"), (de, de + town), (fr, fr + town), (es, es + town),
-        (ru, rf"(?:(?:\d{{6}},\s)?{ru_town},\s)?{ru}(?:,\s{ru_town})?"), (zh, rf"(?:(?:{han}){{2,3}}[市县镇区乡])?{zh}"),
+        rf"{en}(?:,\s{place}(?:\s{post})?)?", de + town, fr + town, es + town,
+        rf"(?:(?:\d{{6}},\s)?{ru_town},\s)?{ru}(?:,\s{ru_town})?", rf"(?:(?:{han}){{2,3}}[市县镇区乡])?{zh}",
     ]
 
 
 #: Pattern of an address, and a cheap sign that a text may hold one.
 _ADDRESS = [
     (re.compile(whole), re.compile(sign))
-    for (_, whole), sign in zip(
+    for whole, sign in zip(
         _address_patterns(_UP, _LOW),
         (r"\d[a-z]?\s[A-Z]|Box\s\d", r"[a-zß.]\s\d", r"\d,?\s(?:[a-z]|bis|ter)|BP\s\d", r"Calle|C/|Avda|Avenida|Plaza|Pza|Paseo|Camino|Ronda|Traves|Apdo", r"(?:ул|просп|пр|пер|пл|наб|бул|ш)\.", r"\d号"),
     )
 ]
 _HAS_DIGIT = re.compile(r"\d")
-_STREET_JVM = "|".join(street for street, _ in _address_patterns(*_JVM))
 
 # ---------------------------------------------------------------- names
 _PART = r"(?:de|da|di|do|dos|das|van|von|der|den|zu|la|las|los|le|del|della|du|af|av|ter|ten|bin|ibn|al|el|y)"
@@ -597,18 +593,6 @@ def han_families(texts: DataFrame, weights: Weights) -> list[str]:
     return [r.c for r in found.groupBy("c").agg(F.count("*").alias("n")).where("n >= 2").collect()]
 
 
-def may_hold(text: Column | str, lexicon: Lexicon, unknown: bool = True) -> Column:
-    """Whether a text can hold a candidate: false only where candidates() finds none; with `unknown` False, one
-    that is more than capitalised words. All in the JVM."""
-    t = F.col(text) if isinstance(text, str) else text
-    out = t.rlike(_NUMBER_SIGN) | t.rlike(_EMAIL_SIGN) | t.rlike(_STREET_JVM) | t.rlike(_TITLE.replace(r"[^\W_]", r"[\p{L}\p{N}]"))
-    if lexicon.han_family:
-        out = out | t.rlike("|".join(lexicon.han_family))
-    known = sorted({p for w in lexicon.parts for p in _LETTERS.findall(w)})
-    rare = lambda w: F.lit(unknown) & (w != F.lower(w)) & ~w.isin(sorted(x for x, n in lexicon.frequent.items() if n >= EVERYDAY)) | F.lower(w).isin(known)
-    return out | F.exists(F.split(t, r"[^\p{L}]+"), rare)
-
-
 _FOUND = "doc_id long, start_pos int, end_pos int, kind string, pii_text string"
 _FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("start_pos", pa.int32()), ("end_pos", pa.int32()), ("kind", pa.string()), ("pii_text", pa.string())])
 #: Long texts are read in windows so that no worker holds many features at once.
@@ -646,10 +630,10 @@ def spans_of(text: str, lexicon: Lexicon, weights: Weights) -> list[tuple[int, i
 
 
 def build_model(documents: DataFrame, hints: DataFrame, sample: int) -> tuple[Lexicon, Weights]:
-    """The lexicon, with statistics over all documents, and weights fitted on at most `sample` of the rows that can
-    hold a candidate of more than capitalised words, chosen by hash (of each the first WINDOW characters)."""
+    """The lexicon, with statistics over all documents, and weights fitted on at most `sample` rows, chosen by hash (of
+    each the first WINDOW characters)."""
     lexicon = build_lexicon(documents, hints)
-    rows = documents.where(may_hold("text", lexicon, unknown=False)).select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, WINDOW).alias("text")).orderBy("h").limit(sample)
+    rows = documents.where("text is not null").select(F.xxhash64("doc_id", "text").alias("h"), F.substring("text", 1, WINDOW).alias("text")).orderBy("h").limit(sample)
     weights = train([r.text for r in rows.collect()], lexicon)
     texts = documents.where("text is not null")
     if more := sorted(set(han_families(texts, weights)) - set(lexicon.han_family)):
@@ -666,7 +650,7 @@ def _search(make: Callable[[list, list, Callable], pa.RecordBatch], lexicon: Lex
     return run
 
 
-def find_pii(documents: DataFrame, hints: DataFrame, sample: int = 3000) -> DataFrame:
+def find_pii(documents: DataFrame, hints: DataFrame, sample: int = 8000) -> DataFrame:
     """(doc_id, start_pos, end_pos, kind, pii_text) of every item in documents.text, repeated ones too.
 
     documents: doc_id, text; hints: token, kind. Null and empty texts hold nothing. Positions are code points.
@@ -674,18 +658,17 @@ def find_pii(documents: DataFrame, hints: DataFrame, sample: int = 3000) -> Data
     fitted on at most `sample` rows, see build_model(); statistics and search cover all rows.
 
     Scale: no shuffle but for two word counts that combine on the map side; the model (some thousand weights and
-    words) is sent to the workers; the JVM keeps what can't hold a candidate from Python; documents pass in Arrow
-    batches, each text by itself."""
+    words) is sent to the workers; documents pass in Arrow batches, each text by itself."""
     lexicon, weights = build_model(documents, hints, sample)
 
     def rows(batch: pa.RecordBatch, spans) -> pa.RecordBatch:
         out = [(doc, b, e, kind, text[b:e]) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()) for b, e, kind in spans(text)]
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(_FOUND_ARROW.types)], schema=_FOUND_ARROW)
 
-    return spread(documents.where(may_hold("text", lexicon)).select("doc_id", "text")).mapInArrow(_search(rows, lexicon, weights), _FOUND)
+    return spread(documents.where("text is not null").select("doc_id", "text")).mapInArrow(_search(rows, lexicon, weights), _FOUND)
 
 
-def redact(documents: DataFrame, hints: DataFrame, sample: int = 3000) -> DataFrame:
+def redact(documents: DataFrame, hints: DataFrame, sample: int = 8000) -> DataFrame:
     """(doc_id, text): every item of find_pii() replaced by [EMAIL], [PHONE], [ID_NUMBER], [ADDRESS] or [NAME],
     the rest unchanged; null texts stay null."""
     lexicon, weights = build_model(documents, hints, sample)
@@ -693,10 +676,10 @@ def redact(documents: DataFrame, hints: DataFrame, sample: int = 3000) -> DataFr
 
     def clean(batch: pa.RecordBatch, spans) -> pa.RecordBatch:
         out = []
-        for text, maybe in zip(batch.column("text").to_pylist(), batch.column("maybe").to_pylist()):
-            for b, e, kind in reversed(spans(text)) if maybe else ():
+        for text in batch.column("text").to_pylist():
+            for b, e, kind in reversed(spans(text)) if text else ():
                 text = f"{text[:b]}[{kind.upper()}]{text[e:]}"
             out.append(text)
         return pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(out, pa.string())], schema=schema)
 
-    return spread(documents.select("doc_id", "text", may_hold("text", lexicon).alias("maybe"))).mapInArrow(_search(clean, lexicon, weights), "doc_id long, text string")
+    return spread(documents.select("doc_id", "text")).mapInArrow(_search(clean, lexicon, weights), "doc_id long, text string")
