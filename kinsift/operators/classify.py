@@ -1,24 +1,25 @@
 """Scored pairs as a classifier: confusion counts, threshold sweeps, ROC and precision-recall curves, tuning.
 
 All of it works on counts by distinct score: one aggregation of the pairs, then running totals over as many rows
-as there are distinct scores. Totals over one ordered sequence have to run in one task; round scores first where
-there may be very many distinct ones."""
+as there are distinct scores. Totals run over ranges of the scores (ordered_totals), so that no task has them all."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinsift.plans.skew import in_ranges, ordered_totals
 from kinsift.session import cut
 
 METRICS = ("f1", "accuracy", "precision", "recall")
 
 
-def checked(pairs: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """(score, label) as double and 0/1; a score that isn't finite or a label outside 0 and 1 fails the query."""
+def checked(pairs: DataFrame, score: str = "score", label: str = "label", keep: list[str] = ()) -> DataFrame:
+    """(score, label, and columns to keep) as double and 0/1; a score that isn't finite or a label outside 0 and 1 fails the query."""
     s, y = F.col(score).cast("double"), F.col(label).cast("int")
     bad_score = s.isNull() | F.isnan(s) | (F.abs(s) == float("inf"))
     return pairs.select(
+        *keep,
         F.when(bad_score, F.raise_error(F.lit("scores must be finite")).cast("double")).otherwise(s).alias("score"),
         F.when(y.isNull() | ~y.isin(0, 1), F.raise_error(F.lit("labels must be 0 or 1")).cast("int")).otherwise(y).alias("label"),
     )
@@ -57,13 +58,29 @@ def _counts_at(thresholds: DataFrame, counts: DataFrame, greater: bool) -> DataF
     """thresholds: threshold (distinct). Running totals over scores and thresholds in one order."""
     marks = thresholds.select(F.col("threshold").alias("v"), F.lit(0).alias("p"), F.lit(0).alias("n"), F.lit(1).alias("mark"))
     both = counts.select(F.col("score").alias("v"), "p", "n", F.lit(0).alias("mark")).unionByName(marks)
-    order = Window.orderBy(F.desc("v") if greater else F.asc("v"), "mark").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy()
-    run = both.select("v", "mark", F.sum("p").over(order).alias("tp"), F.sum("n").over(order).alias("fp"), F.sum("p").over(whole).alias("ps"), F.sum("n").over(whole).alias("ns"))
-    rows = run.where("mark = 1").select(F.col("v").alias("threshold"), F.col("ps").alias("positive_count"), F.col("ns").alias("negative_count"), "tp", "fp", (F.col("ns") - F.col("fp")).alias("tn"), (F.col("ps") - F.col("tp")).alias("fn"))
+    order = [F.desc("v") if greater else F.asc("v"), F.asc("mark")]
+    run = ordered_totals(both, order, {"tp": "p", "fp": "n"}).where("mark = 1")
+    whole = counts.agg(F.coalesce(F.sum("p"), F.lit(0)).alias("positive_count"), F.coalesce(F.sum("n"), F.lit(0)).alias("negative_count"))
+    rows = run.select(F.col("v").alias("threshold"), "tp", "fp").crossJoin(F.broadcast(whole))  # one row
+    rows = rows.select("threshold", "positive_count", "negative_count", "tp", "fp", (F.col("negative_count") - F.col("fp")).alias("tn"), (F.col("positive_count") - F.col("tp")).alias("fn"))
     return with_ratios(rows)
 
 
+def with_previous(df: DataFrame, order: list[Column], columns: list[str], over: str = "_before") -> DataFrame:
+    """df with {column}{over}: the columns' values of the row before in the given order, 0 at the first. A range's
+    first row has those of the last row of the range before it, of which there is one a range."""
+    ranged = in_ranges(df, order)
+    inside = Window.partitionBy("_range").orderBy(*order)
+    marked = ranged.withColumns({f"{c}{over}": F.lag(c).over(inside) for c in columns} | {"_first": F.row_number().over(inside) == 1, "_last": F.lead(F.lit(1)).over(inside).isNull()})
+    marked = cut(marked)
+    ends = marked.where("_last").select("_range", *columns)
+    earlier = Window.orderBy("_range")
+    ends = ends.select(F.lead("_range").over(earlier).alias("_range"), *[F.col(c).alias(f"_end_{c}") for c in columns]).where("_range is not null")
+    both = marked.join(F.broadcast(ends), "_range", "left")
+    filled = {f"{c}{over}": F.coalesce(F.when(F.col("_first"), F.col(f"_end_{c}")).otherwise(F.col(f"{c}{over}")), F.lit(0)) for c in columns}
+    return both.withColumns(filled).drop("_range", "_first", "_last", *[f"_end_{c}" for c in columns])
+
+
 def _margins(counts: DataFrame) -> DataFrame:
     ends = counts.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     size = F.when(F.col("lo") == F.col("hi"), F.abs("lo")).otherwise(F.col("hi") - F.col("lo"))
@@ -72,8 +89,9 @@ def _margins(counts: DataFrame) -> DataFrame:
 
 def candidates(counts: DataFrame) -> DataFrame:
     """Every distinct score, the middles between neighbours, and a little beyond both ends."""
-    order = Window.orderBy("score")
-    middles = counts.select(((F.col("score") + F.lead("score").over(order)) / 2).alias("threshold")).where("threshold is not null")
+    lowest = counts.agg(F.min("score").alias("lowest"))
+    after = with_previous(counts.select("score"), [F.col("score")], ["score"]).crossJoin(F.broadcast(lowest))  # one row
+    middles = after.where("score <> lowest").select(((F.col("score") + F.col("score_before")) / 2).alias("threshold"))
     ends = _margins(counts).select(F.explode(F.array(F.col("lo") - F.col("m"), F.col("hi") + F.col("m"))).alias("threshold"))
     return counts.select(F.col("score").alias("threshold")).unionByName(middles).unionByName(ends).distinct()
 
@@ -92,11 +110,11 @@ def best_threshold(pairs: DataFrame, metric: str = "f1", greater: bool = True) -
     """The candidate with the highest metric, then precision, recall, accuracy, then the larger threshold (the
     smaller where lower is a match), with optimized_metric and candidate_count."""
     if metric not in METRICS:
-        raise ValueError("optimize must be one of: f1, accuracy, precision, recall.")
+        raise ValueError(f"a threshold is tuned for one of {', '.join(METRICS)}")
     sweep = threshold_sweep(pairs, greater=greater)
-    counted = sweep.withColumn("candidate_count", F.count("*").over(Window.partitionBy()))
-    last = F.desc("threshold") if greater else F.asc("threshold")
-    return counted.orderBy(F.desc(metric), F.desc("precision"), F.desc("recall"), F.desc("accuracy"), last).limit(1).withColumn("optimized_metric", F.lit(metric))
+    last = F.col("threshold") if greater else -F.col("threshold")
+    best = F.max_by(F.struct(*sweep.columns), F.struct(metric, "precision", "recall", "accuracy", last.alias("_t"))).alias("b")
+    return sweep.agg(best, F.count("*").alias("candidate_count")).where("b is not null").select("b.*", "candidate_count", F.lit(metric).alias("optimized_metric"))
 
 
 def _curve(pairs: DataFrame, greater: bool) -> DataFrame:
@@ -113,9 +131,8 @@ def roc_curve(pairs: DataFrame, greater: bool = True) -> DataFrame:
 
 def auroc(pairs: DataFrame, greater: bool = True) -> DataFrame:
     """(auroc, positive_count, negative_count); null with only one class."""
-    points = roc_curve(pairs, greater)
-    order = Window.orderBy("fpr", "tpr")
-    area = (F.col("fpr") - F.lag("fpr").over(order)) * (F.col("tpr") + F.lag("tpr").over(order)) / 2
+    points = with_previous(roc_curve(pairs, greater), [F.asc("fpr"), F.asc("tpr"), F.asc("threshold")], ["fpr", "tpr"])
+    area = (F.col("fpr") - F.col("fpr_before")) * (F.col("tpr") + F.col("tpr_before")) / 2
     out = points.select(area.alias("a"), "positive_count", "negative_count").agg(F.sum("a").alias("a"), F.max("positive_count").alias("positive_count"), F.max("negative_count").alias("negative_count"))
     return out.select(F.when((F.col("positive_count") > 0) & (F.col("negative_count") > 0), F.col("a")).alias("auroc"), "positive_count", "negative_count")
 
@@ -126,13 +143,33 @@ def precision_recall_curve(pairs: DataFrame, greater: bool = True) -> DataFrame:
 
 def average_precision(pairs: DataFrame, greater: bool = True) -> DataFrame:
     """The sum over thresholds, best first, of the growth of recall times precision; null with one class."""
-    points = precision_recall_curve(pairs, greater)
-    order = Window.orderBy(F.desc("threshold") if greater else F.asc("threshold"))
-    step = F.greatest(F.lit(0.0), F.col("recall") - F.coalesce(F.lag("recall").over(order), F.lit(0.0))) * F.col("precision")
+    points = with_previous(precision_recall_curve(pairs, greater), [F.desc("threshold") if greater else F.asc("threshold")], ["recall"])
+    step = F.greatest(F.lit(0.0), F.col("recall") - F.col("recall_before")) * F.col("precision")
     out = points.select(step.alias("s"), "positive_count", "negative_count").agg(F.sum("s").alias("s"), F.max("positive_count").alias("p"), F.max("negative_count").alias("n"))
     return out.select(F.when((F.col("p") > 0) & (F.col("n") > 0), F.col("s")).alias("average_precision"))
 
 
 def tuning_report(pairs: DataFrame, metric: str = "f1", greater: bool = True) -> DataFrame:
     """The best threshold with AUROC and average precision (null where there is one class)."""
+    pairs = cut(pairs)  # scored once for three curves
     return best_threshold(pairs, metric, greater).drop("positive_count", "negative_count").crossJoin(auroc(pairs, greater)).crossJoin(average_precision(pairs, greater))  # one row each
+
+
+def calibration_report(pairs: DataFrame, metric: str = "f1", greater: bool = True, thresholds: list[float] | None = None, one_class: bool = False) -> dict[str, DataFrame]:
+    """summary (one row: pair_count, the best threshold, auroc, average_precision), threshold_sweep, roc and
+    precision_recall as tables. Labels of one class are an error, or with `one_class` leave auroc, average_precision
+    and the curves out."""
+    pairs = cut(pairs)
+    n = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
+    both = 0 < n.p < n.n
+    if not both and not one_class:
+        raise ValueError("a calibration needs pairs of both labels")
+    best = best_threshold(pairs, metric, greater).drop("positive_count", "negative_count")
+    head = best.select(F.lit(n.n).alias("pair_count"), F.lit(n.p).alias("positive_count"), F.lit(n.n - n.p).alias("negative_count"), F.lit(greater).alias("greater_is_match"), "*")
+    out = {"threshold_sweep": threshold_sweep(pairs, thresholds, greater)}
+    if both:
+        head = head.crossJoin(auroc(pairs, greater).select("auroc")).crossJoin(average_precision(pairs, greater))  # one row each
+        out |= {"roc": roc_curve(pairs, greater), "precision_recall": precision_recall_curve(pairs, greater)}
+    else:
+        head = head.withColumns({"auroc": F.lit(None).cast("double"), "average_precision": F.lit(None).cast("double")})
+    return {"summary": head, **out}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinsift.plans.skew import numbered
+
 
 def judged(qrels: DataFrame) -> DataFrame:
     """(query_id, document_id, relevance): repeated judgements as their maximum."""
@@ -40,10 +42,10 @@ def whole_ranks(results: DataFrame, qrels: DataFrame, queries: DataFrame, docume
 
     The documents that score 0 follow the others in the order of their ids, so their ranks are counted, not
     formed: what scores above 0, plus the document's place among all ids, less what of it scores above 0. Places
-    come from one sort of the document ids alone."""
+    come from ranges of the document ids."""
     above = results.where(F.col(score) > 0).select("query_id", "document_id", F.col(score).alias("s"))
     wanted = judged(qrels).where("relevance > 0").join(queries.select("query_id"), "query_id", "left_semi")
-    places = documents.select("document_id", F.row_number().over(Window.orderBy("document_id")).alias("place"))
+    places = numbered(documents.select("document_id"), ["document_id"], "place")[0].withColumn("place", F.col("place") + 1)
     wanted = wanted.join(places, "document_id")
     both = above.join(wanted, ["query_id", "document_id"], "full").select("query_id", "document_id", F.coalesce("s", F.lit(0.0)).alias("s"), "relevance", "place")
     met = (F.col("s") > 0).cast("int")
@@ -90,8 +92,12 @@ def query_metrics(results: DataFrame, qrels: DataFrame, k: int = 10, score: str
 
 def retrieval_metrics(results: DataFrame, qrels: DataFrame, k: int = 10, score: str = "similarity_score", over: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """One row: counts and the mean of every metric over queries."""
-    q = query_metrics(results, qrels, k, score, over)
-    return q.agg(
+    return averaged(query_metrics(results, qrels, k, score, over))
+
+
+def averaged(rows: DataFrame, by: list[str] = ()) -> DataFrame:
+    """query_metrics() as one row (or one a group): counts and means over the queries."""
+    return rows.groupBy(*by).agg(
         F.count("*").alias("query_count"), F.sum("results").alias("result_count"), F.sum("relevant").alias("relevant_count"), F.avg("average_precision").alias("map"),
         F.avg("reciprocal_rank").alias("mrr"), F.avg("precision_at_k").alias("precision_at_k"), F.avg("recall_at_k").alias("recall_at_k"), F.avg("ndcg_at_k").alias("ndcg_at_k"),
     )

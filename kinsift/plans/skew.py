@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinsift.session import cut
+
 #: A key with fewer rows than this is never worth a path of its own.
 HOT_ROWS = 100_000
 #: No more hot keys than this are broadcast: with at least total / MOST_HOT rows each, there can't be more.
@@ -43,3 +45,31 @@ def running_totals(df: DataFrame, group: list[str], order: str, size: str, out:
     inside = Window.partitionBy(*group, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     ranked = with_bucket.withColumn("_in", F.coalesce(F.sum(size).over(inside), F.lit(0)))
     return ranked.join(starts, [*group, "_b"]).withColumn(out, F.col("_start") + F.col("_in")).drop("_b", "_start", "_in")
+
+
+def in_ranges(df: DataFrame, order: list[Column | str]) -> DataFrame:
+    """df as a written table with `_range`: rows of a smaller range come first in the given order. Ranges are
+    Spark's own, from a sample of the order; equal rows are in one range."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def ordered_totals(df: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+    """df with running totals: for every out: column of `sums`, the total of the column over all rows up to and with
+    this one in the given order (which tells all rows apart).
+
+    Ranges of the order are totalled first, a row a range; rows are sorted within their range only."""
+    ranged = in_ranges(df, order)
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_own_{out}") for out, c in sums.items()])
+    starts = totals.select("_range", *[F.coalesce(F.sum(f"_own_{out}").over(before), F.lit(0)).alias(f"_start_{out}") for out in sums])
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    own = ranged.withColumns({out: F.sum(c).over(inside) for out, c in sums.items()})
+    joined = own.join(F.broadcast(starts), "_range")  # a row a range
+    return joined.withColumns({out: F.col(out) + F.col(f"_start_{out}") for out in sums}).drop("_range", *[f"_start_{out}" for out in sums])
+
+
+def numbered(df: DataFrame, order: list[str], out: str) -> tuple[DataFrame, int]:
+    """(df with `out`: 0, 1, 2, ... in the given order, which tells all rows apart; number of rows)."""
+    placed = cut(ordered_totals(df.withColumn("_one", F.lit(1)), [F.col(c) for c in order], {out: "_one"}).drop("_one").withColumn(out, F.col(out) - 1))
+    return placed, placed.count()

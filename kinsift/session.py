@@ -51,12 +51,14 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores before work that is heavy by row: a scan of few small files has few tasks. Inputs that
-    have as many partitions as cores stay as they are."""
+    """df over all cores before work that is heavy by row: a scan of few small files has few tasks. Scans (with
+    columns and conditions at most) that have as many partitions as cores stay as they are. What a shuffle feeds
+    is dealt out anew, without running it to count its partitions."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
+    plan = df._jdf.queryExecution()
+    if "Exchange" not in plan.sparkPlan().toString() and "Join" not in plan.optimizedPlan().toString() and "Aggregate" not in plan.optimizedPlan().toString():
+        return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
+    return df.repartition(max(cores, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def cut(df: DataFrame) -> DataFrame:
