@@ -18,6 +18,26 @@ def score_range(function: str, normalized: bool = False) -> tuple[float, float]:
     return (0.0, 1.0) if normalized else RANGES[function, False]
 
 
+# Names of vector backends, and of the libraries that the others need.
+BACKENDS = {"static_hash": None, "sentence_transformers": "sentence_transformers", "model2vec": "model2vec", "pylate": "pylate"}
+_BACKEND_ALIASES = {"auto": "static_hash", "static": "static_hash", "hash": "static_hash", "sentence-transformers": "sentence_transformers", "colbert": "pylate"}
+
+
+def backend(name: str) -> str:
+    """The backend of a name; one whose library isn't installed is an error. auto is the one that needs none."""
+    key = name.strip().lower()
+    key = _BACKEND_ALIASES.get(key, key)
+    if key not in BACKENDS:
+        raise ValueError(f"there is no vector backend {name}; known: {', '.join(BACKENDS)}")
+    if BACKENDS[key] is not None:
+        try:
+            __import__(BACKENDS[key])
+        except ImportError:
+            raise ImportError(f"vector backend {key} needs {BACKENDS[key]}, which isn't installed") from None
+        raise NotImplementedError(f"vectors of {key} are given as a column, not made here")
+    return key
+
+
 def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -54,9 +74,16 @@ def similarity(a: Column | str, b: Column | str, function: str = "cosine", norma
 def hash_vector(text: Column | str, dim: int = 256, lower: bool = True) -> Column:
     """Counts of tokens by crc32 bucket, scaled to length 1; zeros for a text without tokens."""
     dim = max(8, int(dim))
-    buckets = F.transform(code_tokens(text, lower), lambda t: F.crc32(F.encode(t, "UTF-8")) % dim)
-    counts = let(buckets, lambda b: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double")))
-    return let(counts, unit)
+    empty = F.array_repeat(F.lit(0), dim)
+    buckets = F.array_sort(F.transform(code_tokens(text, lower), lambda t: (F.crc32(F.encode(t, "UTF-8")) % dim).cast("int")))
+
+    def count(b: Column) -> Column:
+        """Where each bucket's run begins in the sorted list, and so how long it is: one pass and a merge."""
+        starts = F.filter(F.transform(b, lambda x, i: F.struct(x.alias("b"), i.alias("i"))), lambda s: (s["i"] == 0) | (F.get(b, s["i"] - 1) != s["b"]))
+        sizes = let(starts, lambda st: F.transform(st, lambda s, k: F.struct(s["b"].alias("b"), (F.coalesce(F.get(st, k + 1)["i"], F.size(b)) - s["i"]).alias("n"))))
+        return let(F.map_from_entries(sizes), lambda m: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.element_at(m, i), F.lit(0)).cast("double")))
+
+    return F.when(F.size(buckets) > 0, let(let(buckets, count), unit)).otherwise(F.transform(empty, lambda x: x.cast("double")))
 
 
 def unit(v: Column) -> Column:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinsift.functions import strings, text, tokens, vectors, weights
+from kinsift.functions import chunks, strings, text, tokens, vectors, weights
 from kinsift.operators import code_metrics, winnowing
 from kinsift.session import cut, spread
 
@@ -31,14 +31,34 @@ class Options:
     code_metric: str = "none"
     metric_order: int = 4
     trivial_ngrams: int = 50
+    bidirectional: bool = False
+    keywords: tuple[str, ...] | None = None
+    ruby_mode: str = "auto"
+    ruby_tokenizer: str = "tranx"
+    ruby_denominator: str = "max"
+    lexical_tokenizer: str = "raw"
+    vector_backend: str = "static_hash"
+    chunking: str = "none"
+    chunk_size: int = 200
+    chunk_overlap: int = 0
+    max_chunks: int | None = None
+    chunk_aggregation: str = "mean"
+    multivector: bool = False
+    multivector_both_ways: bool = False
+    extra: tuple[str, ...] = ()
     weights: dict[str, float] = field(init=False)
 
     def __post_init__(self) -> None:
-        own = weights.parse_weights(self.feature_weights)
+        own = weights.parse_weights(self.feature_weights, self.extra)
         weights.check_scales(own, self.similarity_function, self.normalize_semantic)
         vectors.score_range(self.similarity_function)
         if own.get("code_metric", 0) > 0:
             code_metrics.require(self.code_metric)
+            code_metrics.ruby(F.col, F.col, self.ruby_mode, self.ruby_tokenizer, self.ruby_denominator)
+        if self.lexical_tokenizer.strip().lower() not in ("raw", "regex", "none", ""):
+            raise ImportError("tokens of a parser need tree_sitter and its grammars; lexical_tokenizer is raw here")
+        vectors.backend(self.vector_backend)
+        chunks.chunk_text("", self.chunking, self.chunk_size, self.chunk_overlap, self.max_chunks)
         object.__setattr__(self, "weights", own)
 
     def active(self, *names: str) -> bool:
@@ -53,9 +73,14 @@ def document_features(docs: DataFrame, o: Options) -> DataFrame:
     if o.active("winnowing"):
         out = out.withColumn("fps", winnowing.fingerprints(F.col("tok"), o.winnow_k, o.winnow_w))
     if o.active("code_metric"):
-        out = out.withColumn("ruby", tokens.tranx_tokens("code")).withColumn("words", tokens.whitespace_tokens("code"))
+        out = out.withColumn("tranx", tokens.tranx_tokens("code")).withColumn("words", tokens.whitespace_tokens("code"))
     if o.active("semantic"):
-        out = out.withColumn("vec", vectors.hash_vector("code", o.static_dim))
+        plain = vectors.hash_vector("code", o.static_dim)
+        if o.chunking == "none" and not o.multivector:
+            return out.withColumn("vec", plain)
+        parts = out.withColumn("_chunks", chunks.chunks("code", o.chunking, o.chunk_size, o.chunk_overlap, o.max_chunks))
+        stack = parts.withColumn("vec", F.transform("_chunks", lambda c: vectors.hash_vector(c, o.static_dim))).drop("_chunks")
+        return stack if o.multivector else stack.withColumn("vec", vectors.aggregate_chunks("vec", o.chunk_aggregation))
     return out
 
 
@@ -64,7 +89,8 @@ def score(o: Options, trivial: DataFrame | None = None) -> Column:
     l, r = (lambda c: F.col(f"l_{c}")), (lambda c: F.col(f"r_{c}"))
     columns: dict[str, Column] = {}
     if o.active("semantic"):
-        columns["semantic"] = vectors.similarity(l("vec"), r("vec"), o.similarity_function, o.normalize_semantic)
+        one = vectors.similarity(l("vec"), r("vec"), o.similarity_function, o.normalize_semantic)
+        columns["semantic"] = vectors.max_sim(l("vec"), r("vec"), o.multivector_both_ways) if o.multivector else one
     if o.active("levenshtein"):
         plain = tuple(o.edit_weights) == (1, 1, 1)
         columns["levenshtein"] = strings.levenshtein_similarity(l("code"), r("code")) if plain else strings.weighted_levenshtein(l("code"), r("code"), *o.edit_weights)
@@ -75,17 +101,24 @@ def score(o: Options, trivial: DataFrame | None = None) -> Column:
     if o.active("gst"):
         columns["gst"] = strings.gst(l("tok"), r("tok"), o.gst_least)
     if o.active("code_metric"):
-        if o.code_metric == "crystalbleu":
-            pick = code_metrics.crystalbleu(l("tok"), r("tok"), trivial, o.metric_order) if trivial is not None else code_metrics.crystalbleu_pair_context(l("tok"), r("tok"), o.metric_order, o.trivial_ngrams)
-        elif o.code_metric == "ruby":
-            pick = code_metrics.ruby_ngram(l("ruby"), r("ruby"), o.metric_order)
-        elif o.code_metric == "codebleu_ngram":
-            pick = code_metrics.bleu(l("words"), r("words"))
-        elif o.code_metric == "codebleu_weighted_ngram":
-            pick = code_metrics.weighted_bleu(l("words"), r("words"), text.KEYWORDS)
-        else:
+        m, both = o.code_metric, o.bidirectional
+        if m == "crystalbleu" and trivial is not None:
+            pick = code_metrics.crystalbleu(l("tok"), r("tok"), trivial, o.metric_order, both)
+        elif m == "crystalbleu":
+            pick = code_metrics.crystalbleu_pair_context(l("tok"), r("tok"), o.metric_order, o.trivial_ngrams, both)
+        elif m == "ruby":
+            pick = code_metrics.ruby(l, r, o.ruby_mode, o.ruby_tokenizer, o.ruby_denominator, o.metric_order, both)
+        elif m == "codebleu_ngram":
+            pick = code_metrics.bleu(l("words"), r("words"), both)
+        elif m == "codebleu_weighted_ngram":
+            pick = code_metrics.weighted_bleu(l("words"), r("words"), code_metrics.keywords_of(o.language or "java", o.keywords), both)
+        elif m == "none":
             pick = F.lit(0.0)
+        else:
+            raise NotImplementedError(f"{m} needs a parser or a model, which this library doesn't call")
         columns["code_metric"] = pick
+    for name in o.extra:
+        columns[name] = F.col(name)
     return weights.blend(o.weights, columns)
 
 
@@ -121,7 +154,7 @@ def score_pairs(files: DataFrame, pairs: DataFrame, options: Options | None = No
     o = options or Options(feature_weights={"levenshtein": 1.0}, language="python")
     features = cut(document_features(files.select(F.col("file_id").alias("id"), "text"), o))
     both = pairs.join(_side(features, "l"), F.col("left_id") == F.col("l_id")).join(_side(features, "r"), F.col("right_id") == F.col("r_id"))
-    return spread(both).select(*pairs.columns, score(o).alias("similarity_score"))
+    return both.select(*pairs.columns, score(o).alias("similarity_score"))
 
 
 def score_retrieval(files: DataFrame, queries: DataFrame, corpus: DataFrame, options: Options | None = None) -> DataFrame:
@@ -134,6 +167,15 @@ def score_retrieval(files: DataFrame, queries: DataFrame, corpus: DataFrame, opt
     return q.crossJoin(d).select("query_id", "document_id", score(o).alias("similarity_score"))
 
 
+def calculate_similarity(spark: SparkSession, left: str | None, right: str | None, options: Options | None = None) -> float:
+    """The score of two texts: one row through the same columns as any pair. Null texts count as empty."""
+    o = options or Options()
+    both = spark.createDataFrame([("l", left or ""), ("r", right or "")], "id string, text string")
+    features = document_features(both, o)
+    pair = _side(features.where("id = 'l'"), "l").crossJoin(_side(features.where("id = 'r'"), "r"))  # one row each
+    return float(pair.select(score(o).alias("s")).first()[0])
+
+
 def custom_scores(files: DataFrame, pairs: DataFrame, scorer, context: object = None) -> DataFrame:
     """pairs with similarity_score of the caller's scorer(left_text, right_text) or, with a context worked out
     beforehand, scorer(left_text, right_text, context). A score that isn't finite fails the query."""
@@ -151,4 +193,4 @@ def custom_scores(files: DataFrame, pairs: DataFrame, scorer, context: object =
 
     left = files.select(F.col("file_id").alias("left_id"), F.col("text").alias("_l"))
     right = files.select(F.col("file_id").alias("right_id"), F.col("text").alias("_r"))
-    return spread(pairs.join(left, "left_id").join(right, "right_id")).withColumn("similarity_score", run("_l", "_r")).drop("_l", "_r")
+    return pairs.join(left, "left_id").join(right, "right_id").withColumn("similarity_score", run("_l", "_r")).drop("_l", "_r")

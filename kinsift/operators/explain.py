@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -14,15 +15,28 @@ from kinsift.functions.strings import levenshtein_at_least
 from kinsift.session import cut, spread
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
-def segments(code: str, mode: str = "line") -> list[tuple[str, int, int]]:
-    """(text, start, line number from 1) of the non-blank lines, or of the tokens."""
+MODES = ("line", "token", "chunk")
+_SEGMENT = "struct<text:string,start:int,end:int,line:int,last:int>"
+
+
+def segments(code: str, mode: str = "line", chunk_size: int = 5) -> list[tuple[str, int, int, int, int]]:
+    """(text, start, end, first line, last line; lines from 1) of every line, blank ones too, of every token, or of
+    chunks of lines. Offsets are those of the text as it is, line ends included; a text without any is one empty
+    segment."""
+    if mode not in MODES:
+        raise ValueError(f"segments are {', '.join(MODES)}")
+    if mode == "token":
+        starts = [m.end() for m in re.finditer("\n", code)]
+        line = lambda at: bisect.bisect_right(starts, at) + 1
+        return [(m.group(), *m.span(), line(m.start()), line(m.end() - 1)) for m in _TOKEN.finditer(code)] or [("", 0, 0, 1, 1)]
     out, at = [], 0
-    for number, line in enumerate(code.replace("\r\n", "\n").replace("\r", "\n").split("\n"), 1):
-        if mode == "token":
-            out += [(m.group(), at + m.start(), number) for m in _TOKEN.finditer(line)]
-        elif line.strip():
-            out.append((line, at, number))
-        at += len(line) + 1
+    for number, raw in enumerate(code.splitlines(keepends=True) or [""], 1):
+        out.append((raw.rstrip("\r\n"), at, at + len(raw), number, number))
+        at += len(raw)
+    if mode == "chunk":
+        size = max(1, chunk_size)
+        groups = [out[i : i + size] for i in range(0, len(out), size)]
+        out = [("\n".join(x[0] for x in g), g[0][1], g[-1][2], g[0][3], g[-1][4]) for g in groups]
     return out
 
 
@@ -37,37 +51,62 @@ def greedy(scored: list[tuple[float, int, int]]) -> list[tuple[int, int, float]]
     return out
 
 
-def explain_pairs(pairs: DataFrame, mode: str = "line", bands: tuple[float, float, float] = (0.95, 0.7, 0.3)) -> DataFrame:
-    """pairs (pair_id, unique; left_text, right_text): a row a match, with both sides' index, text, start and line,
-    score to 6 decimals and level (high, medium, low by `bands`). Null texts match nothing.
+def explain_pairs(pairs: DataFrame, mode: str = "line", bands: tuple[float, float, float] = (0.85, 0.6, 0.3), chunk_size: int = 5) -> DataFrame:
+    """pairs (pair_id, unique; left_text, right_text): a row a match, with both sides' index, text, start and first
+    line, score to 6 decimals and level (high, medium, low by `bands`, the lowest above 0). Matches are one to one,
+    best first, and numbered from the left text's beginning. Null texts match nothing.
 
     Segments of a pair are compared with each other in the JVM (Levenshtein similarity of the stripped texts, cut
     off where the lowest band can't be reached); only the greedy choice among them, bounded by the pair's two
     texts, runs in Python."""
+    parts, matches = _matched(pairs, mode, bands, chunk_size)
+    rows = matches.join(parts, "pair_id")
+    a, b = F.element_at("l", F.col("m.i") + 1), F.element_at("r", F.col("m.j") + 1)
+    return rows.select(
+        "pair_id", "match_id", F.col("m.i").alias("left_index"), F.col("m.j").alias("right_index"), a["text"].alias("left_text"), b["text"].alias("right_text"),
+        a["start"].alias("left_start"), b["start"].alias("right_start"), a["line"].alias("left_line"), b["line"].alias("right_line"), "score", "level",
+    )
+
+
+def explained_segments(pairs: DataFrame, mode: str = "line", bands: tuple[float, float, float] = (0.85, 0.6, 0.3), chunk_size: int = 5) -> DataFrame:
+    """A row a segment of either side (left, right), matched or not: index, text, start_char, end_char, start_line,
+    end_line, match_id, matched_index, score and level; without a match null, null, 0 and none."""
+    parts, matches = _matched(pairs, mode, bands, chunk_size)
+    out = None
+    for side, column, own, other in (("left", "l", "i", "j"), ("right", "r", "j", "i")):
+        rows = parts.select("pair_id", F.posexplode(column).alias("index", "x"))
+        hits = matches.select("pair_id", F.col(f"m.{own}").alias("index"), "match_id", F.col(f"m.{other}").alias("matched_index"), "score", "level")
+        both = rows.join(hits, ["pair_id", "index"], "left").select(
+            "pair_id", F.lit(side).alias("side"), "index", "x.text", F.col("x.start").alias("start_char"), F.col("x.end").alias("end_char"), F.col("x.line").alias("start_line"), F.col("x.last").alias("end_line"),
+            "match_id", "matched_index", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("level", F.lit("none")).alias("level"),
+        )
+        out = both if out is None else out.unionByName(both)
+    return out
+
+
+def _matched(pairs: DataFrame, mode: str, bands: tuple[float, float, float], chunk_size: int) -> tuple[DataFrame, DataFrame]:
+    """(pair_id, l, r: the segments; pair_id, match_id, m: i, j, score, level)."""
     high, medium, low = bands
-    kind = "array<struct<text:string,start:int,line:int>>"
+    if not 0 < low <= medium <= high <= 1:
+        raise ValueError("bands fall from at most 1 to above 0")
+    segments("", mode)
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf(f"array<{_SEGMENT}>")
     def cut_up(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("text", "start", "line"), x)) for x in segments(t or "", mode)])
+        return texts.map(lambda t: [dict(zip(("text", "start", "end", "line", "last"), x)) for x in segments(t or "", mode, chunk_size)])
 
     @F.pandas_udf("array<struct<i:int,j:int,score:double>>")
     def choose(scored: pd.Series) -> pd.Series:
-        return scored.map(lambda rows: [dict(zip(("i", "j", "score"), m)) for m in greedy([(r["score"], r["i"], r["j"]) for r in rows])])
+        return scored.map(lambda rows: [dict(zip(("i", "j", "score"), m)) for m in sorted(greedy([(r["score"], r["i"], r["j"]) for r in rows]))])
 
     parts = cut(pairs.select("pair_id", cut_up("left_text").alias("l"), cut_up("right_text").alias("r")))
-    wide = spread(parts)
-    left = wide.select("pair_id", F.posexplode("l").alias("i", "a"), "r")
+    left = spread(parts).select("pair_id", F.posexplode("l").alias("i", "a"), "r")
     both = left.select("pair_id", "i", strip("a.text").alias("x"), F.posexplode("r").alias("j", "b")).select("pair_id", "i", "j", "x", strip("b.text").alias("y"))
     scored = both.where("x <> '' and y <> ''").withColumn("score", levenshtein_at_least("x", "y", low)).where("score is not null")
     chosen = scored.groupBy("pair_id").agg(F.collect_list(F.struct("score", "i", "j")).alias("m")).select("pair_id", F.posexplode(choose("m")).alias("n", "m"))
-    rows = chosen.join(parts, "pair_id")
-    a, b = F.element_at("l", F.col("m.i") + 1), F.element_at("r", F.col("m.j") + 1)
     level = F.when(F.col("m.score") >= high, "high").when(F.col("m.score") >= medium, "medium").otherwise("low")
-    return rows.select(
-        "pair_id", F.concat(F.lit("m"), (F.col("n") + 1).cast("string")).alias("match_id"), F.col("m.i").alias("left_index"), F.col("m.j").alias("right_index"), a["text"].alias("left_text"), b["text"].alias("right_text"),
-        a["start"].alias("left_start"), b["start"].alias("right_start"), a["line"].alias("left_line"), b["line"].alias("right_line"), F.round("m.score", 6).alias("score"), level.alias("level"),
-    )
+    named = chosen.select("pair_id", F.concat(F.lit("m"), (F.col("n") + 1).cast("string")).alias("match_id"), "m", F.round("m.score", 6).alias("score"), level.alias("level"))
+    return parts, cut(named)
 
 
 def project(vectors: DataFrame, dims: int = 2) -> DataFrame:

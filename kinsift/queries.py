@@ -529,7 +529,7 @@ _CRYSTAL = f"""
   s as (select dataset_name, row_index, n, sum(b) as whole, sum(least(a, b)) as common from f group by all),
   k as (select l.*, x.n, coalesce(s.whole, 0) as whole, coalesce(s.common, 0) as common from l cross join (select unnest([1, 2, 3, 4]) as n) x left join s using (dataset_name, row_index, n)),
   z as (select dataset_name, row_index, la, lb, min(case when whole > 0 and common = 0 then 0 else 1 end) as ok, sum(case when whole = 0 then ln(1e-12) when common = 0 then 0 else ln(common / whole) end) / 4 as lg from k group by all)
-  select dataset_name, row_index, round(case when la = 0 and lb = 0 then 1.0 when la = 0 or lb = 0 or ok = 0 then 0.0 else (case when lb > la then 1.0 else exp(1 - la / lb) end) * exp(lg) end, 6) as score from z"""
+  select dataset_name, row_index, round(case when la = 0 or lb = 0 or ok = 0 then 0.0 else (case when lb > la then 1.0 else exp(1 - la / lb) end) * exp(lg) end, 6) as score from z"""
 
 
 @_query(_CRYSTAL)
@@ -539,7 +539,7 @@ def crystalbleu_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _RUBY = f"""
-  with {_P}, c as materialized ({_gram_counts_sql(_TRANX_SQL)}), l as ({_lengths_sql(_TRANX_SQL)}),
+  with {_P}, c as materialized ({_gram_counts_sql(_CODE_SQL)}), l as ({_lengths_sql(_CODE_SQL)}),
   s as (select dataset_name, row_index, n, 2 * sum(least(a, b)) / (sum(a) + sum(b)) as f1 from c group by all),
   m as (select dataset_name, row_index, avg(f1) as v from s group by all)
   select dataset_name, row_index, round(case when la = 0 and lb = 0 then 1.0 when la = 0 or lb = 0 then 0.0 else v end, 6) as score from l left join m using (dataset_name, row_index)"""
@@ -547,7 +547,7 @@ _RUBY = f"""
 
 @_query(_RUBY)
 def ruby_ngram_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = code_metrics.ruby_ngram(tokens.tranx_tokens("left_text"), tokens.tranx_tokens("right_text"))
+    score = code_metrics.ruby_ngram(tokens.code_tokens("left_text"), tokens.code_tokens("right_text"))
     return _text_pairs(spark, sf_dir).select("dataset_name", "row_index", F.round(score, 6).alias("score"))
 
 
@@ -566,10 +566,18 @@ def bleu_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _text_pairs(spark, sf_dir).select("dataset_name", "row_index", F.round(score, 6).alias("score"))
 
 
-@_query(_bleu_sql(f"(case when n > 1 or list_contains({_WORDS}, g) then 1.0 else 0.2 end)"))
-def weighted_bleu_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    score = code_metrics.weighted_bleu(tokens.whitespace_tokens("left_text"), tokens.whitespace_tokens("right_text"), text.KEYWORDS)
-    return _text_pairs(spark, sf_dir).select("dataset_name", "row_index", F.round(score, 6).alias("score"))
+def _weighted_bleu(language: str) -> None:
+    words = "[" + ", ".join(f"'{k}'" for k in sorted(code_metrics.keywords_of(language))) + "]"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        score = code_metrics.weighted_bleu(tokens.whitespace_tokens("left_text"), tokens.whitespace_tokens("right_text"), code_metrics.keywords_of(language))
+        return _text_pairs(spark, sf_dir).select("dataset_name", "row_index", F.round(score, 6).alias("score"))
+
+    QUERIES[f"weighted_bleu_{language}"] = (run, _bleu_sql(f"(case when n > 1 or list_contains({words}, g) then 1.0 else 0.2 end)"))
+
+
+for _l in ("java", "python"):
+    _weighted_bleu(_l)
 
 
 @_query()
@@ -700,22 +708,24 @@ def class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.class_counts(table(spark, sf_dir, "pairs"))
 
 
-def _adapted_side(side: str) -> str:
-    return f"""case when {ref_id_sql(side + '_id')} is not null then 'source_' || substr(sha1('id:' || {ref_id_sql(side + '_id')}), 1, 16)
-      when {side}_text is not null then 'source_' || substr(sha1('text:' || {side}_text), 1, 16) end"""
-
-
-_ADAPTED = f"select {_adapted_side('left')} as left_id, {_adapted_side('right')} as right_id, {binary_label_sql('cast(label as varchar)', 'adapter')} as label, left_text, right_text from pairs"
+_ADAPTED = f"""with rows as (select *, row_number() over (order by dataset_name, row_index) - 1 as pos, {binary_label_sql('cast(label as varchar)', 'adapter')} as y from pairs),
+  good as (select *, {ref_id_sql("left_id")} as li, {ref_id_sql("right_id")} as ri from rows where y is not null),
+  side as (select pos, 0 as side, li as id, left_text as text from good where coalesce(nullif(left_id, ''), nullif(left_text, '')) is not null and coalesce(nullif(right_id, ''), nullif(right_text, '')) is not null
+    union all select pos, 1, ri, right_text from good where coalesce(nullif(left_id, ''), nullif(left_text, '')) is not null and coalesce(nullif(right_id, ''), nullif(right_text, '')) is not null),
+  keyed as (select *, case when id is not null then 'id' when text is not null then 'text' end as kind, coalesce(id, text) as value from side),
+  f as (select kind, value, arg_min(case when kind = 'id' then 'source' when side = 0 then 'left' else 'right' end, pos * 2 + side) || '_' || substr(sha1(value), 1, 16) as file_id,
+    arg_min({{'t': text}}, pos * 2 + side).t as text from keyed where kind is not null group by 1, 2),
+  named as (select k.pos, k.side, f.file_id from keyed k join f using (kind, value))"""
 
 
-@_query(f"select left_id, right_id, label from ({_ADAPTED}) where left_id is not null and right_id is not null and label is not null")
+@_query(f"{_ADAPTED} select l.file_id as left_id, r.file_id as right_id, y as label, pos as row_index from good join (select * from named where side = 0) l using (pos) join (select * from named where side = 1) r using (pos)")
 def adapter_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return datasets.adapt_pairs(table(spark, sf_dir, "pairs"))[1]
+    return datasets.adapt_pairs(table(spark, sf_dir, "pairs"), order=["dataset_name", "row_index"])[1]
 
 
-@_query(f"""select file_id, min(text) as text from (select left_id as file_id, left_text as text from a union all select right_id, right_text from a) group by 1""".replace("from a", f"from (select * from ({_ADAPTED}) where left_id is not null and right_id is not null and label is not null)"))
+@_query(f"{_ADAPTED} select file_id, text from f")
 def adapter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return datasets.adapt_pairs(table(spark, sf_dir, "pairs"))[0]
+    return datasets.adapt_pairs(table(spark, sf_dir, "pairs"), order=["dataset_name", "row_index"])[0].select("file_id", "text")
 
 
 @_query(f"""select query_id, document_id, max(relevance) as relevance from (select {ref_id_sql("query_id")} as query_id, {ref_id_sql("document_id")} as document_id, {relevance_sql("cast(relevance as varchar)")} as relevance from qrels)
@@ -786,7 +796,7 @@ def evaluate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled pairs scored by several features at once and measured by data set."""
     files = table(spark, sf_dir, "files").select(ref_id("file_id").alias("file_id"), "text")
     pairs = table(spark, sf_dir, "pairs").where("label in (0, 1)").select("dataset_name", ref_id("left_id").alias("left_id"), ref_id("right_id").alias("right_id"), "label")
-    o = compare.Options(feature_weights="winnowing=2,semantic=1,code_metric=1", code_metric="ruby", preprocess_mode="normalize")
+    o = compare.Options(feature_weights="winnowing=2,semantic=1,code_metric=1", code_metric="ruby", ruby_mode="ngram", preprocess_mode="normalize")
     scored = compare.score_pairs(files, pairs, o).withColumn("score", F.round("similarity_score", 6))
     return _round(classify.confusion(scored, 0.5, by=["dataset_name"]), *_FOUR)
 

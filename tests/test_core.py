@@ -238,7 +238,7 @@ def test_weights():
 
 # ---------------------------------------------------------------- code metrics
 def test_code_metrics():
-    assert code_metrics.crystal_of([], [], {}) == 1 and code_metrics.crystal_of([], ["a"], {}) == 0
+    assert code_metrics.crystal_of([], [], {}) == 0 and code_metrics.crystal_of([], ["a"], {}) == 0
     assert code_metrics.crystal_of(list("abc"), list("abc"), {}, 2) == 1
     assert code_metrics.crystal_of(list("abc"), list("cba"), {}, 1) == 1 and code_metrics.crystal_of(list("abc"), list("cba"), {}, 2) == 0
     assert code_metrics.ruby_of(list("abc"), list("cba"), 1) == 1 and code_metrics.ruby_of(list("abc"), list("cba"), 2) == 0.5
