@@ -37,8 +37,8 @@ def plan_sources(records: DataFrame, targets: DataFrame) -> DataFrame:
     wanted = targets.where(F.col("source").isNotNull()).groupBy(source_key("source").alias("key")).agg(
         F.min("source").alias("source"), F.sum("target_pct").cast("long").alias("target_pct"), F.coalesce(F.max("max_repeats"), F.lit(0)).cast("long").alias("max_repeats")
     )
-    own = records.groupBy(source_key("source").alias("key")).agg(F.sum("tokens").cast("long").alias("tokens"))
-    both = wanted.join(own, "key", "left").withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+    own = records.groupBy(source_key("source").alias("key")).agg(F.sum("tokens").cast("long").alias("tokens"), F.max("tokens").cast("long").alias("largest"))
+    both = wanted.join(own, "key", "left").fillna(0, ["tokens", "largest"])
     total = F.sum("tokens").over(Window.partitionBy())  # one row a target
     budget = both.withColumn("total", total)
     short = 100 * F.col("max_repeats") * F.col("tokens") < F.col("target_pct") * F.col("total")
@@ -49,7 +49,7 @@ def plan_sources(records: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("goal", reach)
         .withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("goal") / F.col("tokens"))).otherwise(0))
         .withColumn("fraction", F.col("goal") - F.col("epochs") * F.col("tokens"))
-        .select("key", "source", "target_pct", "max_repeats", "tokens", "total", "short", "goal", "epochs", "fraction")
+        .select("key", "source", "target_pct", "max_repeats", "tokens", "total", "short", "goal", "epochs", "fraction", "largest")
     )
 
 
@@ -88,8 +88,32 @@ def draw_mix(records: DataFrame, targets: DataFrame, key: str, seed: int = 7) ->
 
 
 def reached_shares(draws: DataFrame, plan: DataFrame) -> DataFrame:
-    """Per target source: goal and tokens drawn, and the share of the mix reached in percent (4 decimals)."""
-    got = draws.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("drawn"), F.count("*").alias("records"))
-    both = plan.join(got, "source", "left").fillna(0, ["drawn", "records"])
-    share = F.coalesce(F.try_divide(100.0 * F.col("drawn"), F.sum("drawn").over(Window.partitionBy())), F.lit(0.0))
-    return both.select("source", "target_pct", "max_repeats", "tokens", "short", "goal", "drawn", "records", F.round(share, 4).alias("share_pct"))
+    """Per target source: goal and tokens drawn, the share of the mix reached in percent (4 decimals), whether the
+    draw fell short of the source's share with every record used max_repeats times, and the largest mix (in tokens)
+    in which all sources that have records could hold their shares.
+
+    All but the plan's own columns is counted from the draw."""
+    capped = F.sum(F.when(F.col("repeats") >= F.col("max_repeats"), F.col("tokens")).otherwise(0))
+    own = draws.join(F.broadcast(plan.select("source", "max_repeats")), "source")
+    got = own.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("drawn"), F.count("*").alias("records"), capped.alias("spent"))
+    both = plan.drop("short").join(got, "source", "left").fillna(0, ["drawn", "records", "spent"])
+    short = ((F.col("spent") == F.col("tokens")) | (F.col("max_repeats") <= 0)) & (100 * F.col("drawn") < F.col("target_pct") * F.col("total"))
+    whole = Window.partitionBy()  # a row a target
+    share = F.coalesce(F.try_divide(100.0 * F.col("drawn"), F.sum("drawn").over(whole)), F.lit(0.0))
+    reach = F.when((F.col("tokens") > 0) & (F.col("max_repeats") > 0) & (F.col("target_pct") > 0), F.floor(100 * F.col("max_repeats") * F.col("tokens") / F.col("target_pct")))
+    return both.select(
+        "source", "target_pct", "max_repeats", "tokens", short.alias("short"), "goal", "drawn", "records", F.round(share, 4).alias("share_pct"), F.min(reach).over(whole).alias("largest_mix")
+    )
+
+
+def check_mix(draws: DataFrame, plan: DataFrame) -> DataFrame:
+    """(source, goal, over, far, beyond): whether more was drawn than the goal, whether the goal was missed by the
+    largest record of the source or more with records left, and how many records were used more than max_repeats
+    times; 0 is right for all."""
+    own = draws.join(F.broadcast(plan.select("source", "max_repeats")), "source")
+    got = own.groupBy("source").agg(
+        F.sum(F.col("tokens") * F.col("repeats")).alias("drawn"), F.sum((F.col("repeats") > F.col("max_repeats")).cast("int")).alias("beyond")
+    )
+    both = plan.select("source", "goal", "largest").join(got, "source", "left").fillna(0, ["drawn", "beyond"])
+    far = (F.col("goal") - F.col("drawn") >= F.greatest("largest", F.lit(1))).cast("int")
+    return both.select("source", "goal", (F.col("drawn") > F.col("goal")).cast("int").alias("over"), far.alias("far"), "beyond")

@@ -61,7 +61,8 @@ def pack(items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
 
     Scale: one pass for sizes, a histogram of at most `capacity` rows to the driver (a proven bound), ranks from
     ordered buckets of the hash (no length is sorted in one task, though a third of all rows may have it), and a
-    broadcast of the fillings, of which there are at most some per length."""
+    broadcast of the fillings. Each filling uses up a length, so there are at most `capacity` of them, with at most
+    22 different lengths each (1 + 2 + ... + 22 < 256; sqrt(2 * capacity) in general)."""
     spark = items.sparkSession
     whole = F.coalesce(F.col(size).cast("long"), F.lit(0))
     sizes = items.select(F.col(key).alias("_key"), F.greatest(whole, F.lit(0)).alias("_size"))
@@ -95,3 +96,15 @@ def _ranked(keyed: DataFrame) -> DataFrame:
     once = keyed.withColumn("_tie", F.row_number().over(same) - 1)
     firsts = once.groupBy("tokens", "_h").agg(F.sum("_one").alias("_one"))
     return once.drop("_one").join(running_totals(firsts, ["tokens"], "_h", "_one", "_before").drop("_one"), ["tokens", "_h"]).withColumn("_rank", F.col("_before") + F.col("_tie"))
+
+
+def check_packing(packed: DataFrame, items: DataFrame, key: str, size: str, capacity: int) -> DataFrame:
+    """One row: the tokens packed, how many were lost or made up, containers above the capacity, items within the
+    capacity that were divided, and containers used beyond the least possible by the tokens."""
+    loads = packed.where("container_id is not null").groupBy("container_id").agg(F.sum("tokens").alias("load"))
+    held = loads.agg(F.coalesce(F.sum("load"), F.lit(0)).alias("tokens"), F.count_if(F.col("load") > capacity).alias("overfull"), F.count("*").alias("used"))
+    parts = packed.groupBy(key).agg(F.count("*").alias("parts"), F.sum("tokens").alias("own"))
+    small = parts.agg(F.count_if((F.col("own") <= capacity) & (F.col("parts") > 1)).alias("divided"))
+    given = items.agg(F.coalesce(F.sum(F.greatest(F.col(size), F.lit(0))), F.lit(0)).alias("given"))
+    row = held.crossJoin(small).crossJoin(given)  # one row each
+    return row.select("tokens", (F.col("tokens") - F.col("given")).alias("lost"), "overfull", "divided", (F.col("used") - F.ceil(F.col("tokens") / capacity)).alias("beyond_least"))

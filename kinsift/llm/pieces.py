@@ -10,7 +10,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _LINE = re.compile(r"[^\r\n]*(?:\r\n|\r|\n|\Z)")
@@ -176,3 +176,15 @@ def split_long(records: DataFrame, limit: int = 2000, overlap: int = 200) -> Dat
 
     long = records.where(F.char_length("text") > limit).select("file_id", "text")
     return long.mapInArrow(run, "file_id string, piece_no int, start_pos long, own_start long, piece string")
+
+
+def check_pieces(pieces: DataFrame, records: DataFrame, limit: int = 2000, overlap: int = 200) -> DataFrame:
+    """(file_id, n_chars, too_long, apart, whole): pieces above the limit, pieces that don't begin with the end of the
+    one before, and whether the pieces without what they repeat are the record's text. records: unique file_id."""
+    length = F.length("piece")
+    end = F.col("start_pos") + length
+    before = Window.partitionBy("file_id").orderBy("piece_no")
+    apart = F.coalesce((F.col("start_pos") != F.lag(end).over(before) - overlap).cast("int"), F.col("start_pos").cast("int"))
+    own = pieces.select("file_id", "piece_no", apart.alias("apart"), (length > limit).cast("int").alias("long"), F.expr("substring(piece, int(own_start - start_pos) + 1)").alias("own"))
+    joined = own.groupBy("file_id").agg(F.sum("long").alias("too_long"), F.sum("apart").alias("apart"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_no", "own"))), lambda x: x["own"]), "").alias("text"))  # one text's pieces
+    return joined.join(records.select("file_id", F.col("text").alias("t")), "file_id").select("file_id", F.length("t").cast("long").alias("n_chars"), "too_long", "apart", (F.col("text") == F.col("t")).alias("whole"))

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 
 from kinsift.functions.ids import ref_id, ref_id_sql, strip_sql
 from kinsift.llm.groups import group_matches, undirected
-from kinsift.llm.mixing import draw_mix, quality_weight, reached_shares
-from kinsift.llm.packing import pack
-from kinsift.llm.pieces import split_long
+from kinsift.llm.mixing import check_mix, draw_mix, quality_weight, reached_shares
+from kinsift.llm.packing import check_packing, pack
+from kinsift.llm.pieces import check_pieces, split_long
 from kinsift.llm.pii import find_pii, redact
-from kinsift.llm.spans import shared_runs, shared_share, submissions
-from kinsift.llm.splits import assign_roles, leaking_entities, pair_components, pair_entities, share_report
+from kinsift.llm.spans import shared_runs, shared_share, span_clusters, submissions
+from kinsift.llm.splits import assign_roles, check_roles, leaking_entities, pair_components, pair_entities, share_report
 from kinsift.llm.tokens import token_count, token_count_sql
 from kinsift.llm.top_n import top_n
-from kinsift.session import table
+from kinsift.session import cut, table
 
 CAPACITY = 256
 TOP = 10
@@ -38,6 +38,12 @@ def p1_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share_report(p1_roles(spark, sf_dir))
 
 
+def p1_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p1_roles: no entity with two roles, no role off its share by the largest component."""
+    entities = cut(pair_entities(table(spark, sf_dir, "pairs"), table(spark, sf_dir, "files")))
+    return check_roles(cut(assign_roles(pair_components(entities))), entities)
+
+
 _P1 = f"""
   with f as (select {ref_id_sql("file_id")} as id, min(nullif(lower({strip_sql("author_id")}), '')) as author from files group by 1),
   side as (select dataset_name, row_index, {ref_id_sql("left_id")} as id from pairs union all select dataset_name, row_index, {ref_id_sql("right_id")} from pairs),
@@ -57,6 +63,31 @@ def p2_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(records, shared_runs(records))
 
 
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The submissions that share passages, by connected component."""
+    return span_clusters(submissions(table(spark, sf_dir, "pairs")))
+
+
+_P2_WINDOWS = f"""
+  with rec as materialized (select id, min(t) as t from (select {ref_id_sql("left_id")} as id, left_text as t from pairs union all select {ref_id_sql("right_id")}, right_text from pairs)
+      where id is not null and t is not null group by 1),
+  c as (select id, string_split(t, '') as c, length(t) as n from rec where length(t) >= 120),
+  w as materialized (select id, unnest(range(0, n - 119)) as s, unnest(list_transform(range(0, n - 119), lambda i: md5_number_lower(array_to_string(c[i + 1 : i + 120], '')))) as h from c),
+  hit as materialized (select id, s, h from w where h in (select h from w group by 1 having min(id) <> max(id))),
+  runs as (select id, s, s - coalesce(lag(s) over (partition by id order by s), -1000) > 120 as new from hit),
+  num as (select id, s, sum(cast(new as int)) over (partition by id order by s) as run from runs),
+  found as (select id as file_id, min(s) as start_pos, max(s) - min(s) + 120 as span_chars from num group by id, run)"""
+_P2_CLUSTERS = f"""{_P2_WINDOWS.replace("with rec", "with recursive rec")},
+  edge as (select distinct h.id as a, m.id as b from hit h join (select h, min(id) as id from hit group by 1) m using (h)),
+  arc as (select a, b from edge union select b, a from edge),
+  walk as (select a as file_id, b as seen from arc union select w.file_id, arc.b from walk w join arc on arc.a = w.seen),
+  grouped as (select file_id, min(seen) as cluster_id from walk group by 1)
+  select file_id, cluster_id, count(*) over (partition by cluster_id) as size from grouped"""
+_P2_SHARED = f"""{_P2_WINDOWS}
+  select id as file_id, length(t) as n_chars, coalesce(n, 0) as shared_chars, round(coalesce(coalesce(n, 0) / nullif(length(t), 0), 0.0), 6) as share
+  from rec left join (select file_id, sum(span_chars) as n from found group by 1) f on f.file_id = rec.id"""
+
+
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = table(spark, sf_dir, "pairs")
     # A side's text is the same in all its rows: what is short or empty need not be grouped.
@@ -64,6 +95,11 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_long(submissions(trimmed[0].unionByName(trimmed[1])), LIMIT, OVERLAP)
 
 
+def p3_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p3_pieces: none too long, each from 200 characters before the last one's end, the text whole."""
+    return check_pieces(p3_pieces(spark, sf_dir), submissions(table(spark, sf_dir, "pairs")), LIMIT, OVERLAP)
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_pieces(spark, sf_dir).where("piece_no = 1").select("file_id")
 
@@ -114,6 +150,11 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_containers(spark, sf_dir).where("part_no > 0").select("doc_id").distinct()
 
 
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p8_containers: nothing lost, none overfull, no small segment divided, as few as can be."""
+    return check_packing(cut(p8_containers(spark, sf_dir)), _sizes(spark, sf_dir), "doc_id", "tokens", CAPACITY)
+
+
 def p8_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Containers used, the least number possible by the tokens, and the share of unused space."""
     packed = p8_containers(spark, sf_dir)
@@ -130,15 +171,24 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return draw_mix(_mix_input(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id")[0]
 
 
+def p9_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of p9_mix: no source above its goal, none a record or more below, no record used too often."""
+    return check_mix(*draw_mix(_mix_input(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id"))
+
+
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reached_shares(*draw_mix(_mix_input(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws, plan = draw_mix(_mix_input(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id")
-    return reached_shares(draws, plan).where("short").select("source")
+    return reached_shares(draws, plan).where("short").select("source")  # short is what the draw came to, not a plan
 
 
+_P9_GOALS = f"""
+  with own as (select lower({strip_sql("source")}) as key, sum({token_count_sql("text")}) as t from documents group by 1),
+  both_ as (select m.source, m.target_pct, m.max_repeats, coalesce(o.t, 0) as t from mix_targets m left join own o on o.key = lower({strip_sql("m.source")}))
+  select source, least(target_pct * (select sum(t) from both_) // 100, max_repeats * t) as goal, 0 as over, 0 as far, 0 as beyond from both_"""
 _P9 = f"""
   with own as (select lower({strip_sql("source")}) as key, sum({token_count_sql("text")}) as t from documents group by 1),
   both_ as (select m.source, m.target_pct, m.max_repeats, coalesce(o.t, 0) as t from mix_targets m left join own o on o.key = lower({strip_sql("m.source")}))
@@ -156,19 +206,25 @@ def p10_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": (p1_found, _P1),
+    "p1_check": (p1_check, "select dataset_name, count(*) as pairs, 0 as divided, 0 as off from pairs group by 1"),
     "p1_roles": (p1_roles, None),
     "p1_shares": (p1_shares, None),
-    "p2_found": (p2_found, None),
-    "p2_shared": (p2_shared, None),
+    "p2_found": (p2_found, f"{_P2_WINDOWS} select * from found"),
+    "p2_shared": (p2_shared, _P2_SHARED),
+    "p2_clusters": (lambda spark, sf_dir: p2_clusters(spark, sf_dir).drop("links"), _P2_CLUSTERS),
     "p3_found": (p3_found, _P3),
     "p3_pieces": (p3_pieces, None),
+    "p3_check": (p3_check, f"""select id as file_id, length(min(t)) as n_chars, 0 as too_long, 0 as apart, true as whole from (select {ref_id_sql("left_id")} as id, left_text as t from pairs
+      union all select {ref_id_sql("right_id")}, right_text from pairs) where id is not null and length(t) > {LIMIT} group by 1"""),
     "p7_found": (p7_found, _P7),
     "p5_found": (p5_found, _P5),
     "p8_found": (p8_found, f"select doc_id from documents where {token_count_sql('text')} > {CAPACITY}"),
     "p8_containers": (p8_containers, None),
+    "p8_check": (p8_check, f"select sum({token_count_sql('text')}) as tokens, 0 as lost, 0 as overfull, 0 as divided, 0 as beyond_least from documents"),
     "p8_summary": (p8_summary, None),
     "p9_found": (p9_found, _P9),
     "p9_mix": (p9_mix, None),
+    "p9_check": (p9_check, _P9_GOALS),
     "p9_shares": (p9_shares, None),
     "p10_found": (p10_found, None),
     "p10_redacted": (p10_redacted, None),

@@ -1,17 +1,20 @@
 """Long exact spans shared between records.
 
-The method first thought of for this, MinHash banding of paragraphs, finds similar paragraphs with some
-probability and no character positions; it can't give every verbatim stretch. Chosen instead, and exact:
-winnowed segments. Every window of `span` characters has a smallest k-gram (by hash), its anchor; a run of
-neighbouring windows with the same anchor is a segment, about one for 30 characters. A window that two records
-share has the same anchor in both. So
-1. segments are grouped by (anchor, hash of the whole segment): where two records meet, all windows are shared;
-2. only where records meet in the anchor but not in the segment (near an edit), windows are compared by text;
-3. shared windows are merged to maximal runs.
+Method: MinHash banding, verification, clusters. What is banded are not paragraphs between blank lines, which begin
+and end elsewhere than the shared stretches do (the README gives their measured recall), but all windows of `span`
+characters, the shortest stretches asked for:
+1. A window is the set of its k-grams (ANCHOR characters), its signature one MinHash: one band of one row. Two
+   windows collide with the probability of their Jaccard similarity, equal ones always: the recall is 1. Neighbouring
+   windows mostly have the same minimum; a run of them with one signature is a segment, about one for 30 characters,
+   and all that is stored.
+2. Segments that collide are verified: equal texts (a 128-bit BLAKE2 digest of the whole segment) share all their
+   windows; where records meet in the signature but not in the segment (near an edit), windows are compared by text.
+3. Shared windows are merged to maximal runs; records that share any are clustered by connected components.
 No pairs of records are formed anywhere: a group only keeps its smallest and largest record id."""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsift.functions.ids import ref_id
+from kinsift.llm.groups import group_matches, undirected
 from kinsift.plans.skew import join_counted
 from kinsift.session import cut
 
@@ -47,19 +51,15 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def _gram_hashes(codes: np.ndarray, lengths: tuple[int, ...]) -> dict[int, np.ndarray]:
-    """Polynomial hashes of all substrings of the given lengths, put together from lengths that are powers of 2."""
-    power, parts, size = codes, {}, 1
-    out: dict[int, np.ndarray | None] = dict.fromkeys(lengths)
-    done = dict.fromkeys(lengths, 0)
-    while True:
-        for length in lengths:
-            if length & size:
-                parts[length] = power if out[length] is None else _join(power, out[length], size, done[length])
-                out[length], done[length] = parts[length], done[length] + size
-        if size * 2 > max(lengths):
-            return out
+def _gram_hash(codes: np.ndarray, length: int) -> np.ndarray:
+    """Polynomial hashes of all substrings of the length, put together from lengths that are powers of 2."""
+    power, size, out, done = codes, 1, None, 0
+    while size <= length:
+        if length & size:
+            out = power if out is None else _join(power, out, size, done)
+            done += size
         power, size = _join(power, power, size, size), size * 2
+    return out
 
 
 def _join(left: np.ndarray, right: np.ndarray, left_size: int, right_size: int) -> np.ndarray:
@@ -77,14 +77,15 @@ def _window_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(level[:n], level[width - size : width - size + n])
 
 
-def _segments_of(texts: list[str], span: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """text number, first window, end of windows, anchor, segment hash. All texts have at least `span` characters."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+def _segments_of(texts: list[str], span: int, anchor: int) -> tuple:
+    """text number, first window, end of windows, signature, digest. All texts have at least `span` characters."""
+    raw = memoryview("".join(texts).encode("utf-32-le", "surrogatepass"))
+    codes = np.frombuffer(raw, dtype="<u4").astype(np.uint64)
     sizes = np.array([len(t) for t in texts])
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    grams = _gram_hashes(_mix(codes + np.uint64(0x632BE59BD9B4E019)), (anchor, span))
+    grams = _gram_hash(_mix(codes + np.uint64(0x632BE59BD9B4E019)), anchor)
     width = span - anchor + 1
-    least = _window_min(_mix(grams[anchor]), width)
+    least = _window_min(_mix(grams), width)
     windows = sizes - span + 1
     doc = np.repeat(np.arange(len(texts)), windows)
     inside = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
@@ -96,13 +97,12 @@ def _segments_of(texts: list[str], span: int, anchor: int) -> tuple[np.ndarray,
     new |= (np.arange(len(at)) - first) % width == 0  # a repeated k-gram can't make a segment longer than this
     s = np.flatnonzero(new)
     e = np.append(s[1:], len(at))
-    whole = grams[span]
-    tail = _mix(whole[at[e - 1]] + np.uint64(0x9E3779B97F4A7C15))
-    seg = _mix(whole[at[s]] + tail + (e - s).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    first_char, last_char = at[s] * 4, (at[e - 1] + span) * 4
+    seg = [hashlib.blake2b(raw[b:z], digest_size=16).digest() for b, z in zip(first_char.tolist(), last_char.tolist())]
     return doc[s], inside[s], inside[s] + (e - s), low[s], seg
 
 
-_SEGMENT = pa.schema([("file_id", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("a", pa.int64()), ("g", pa.int64())])
+_SEGMENT = pa.schema([("file_id", pa.string()), ("s", pa.int32()), ("e", pa.int32()), ("a", pa.int64()), ("g", pa.binary())])
 
 
 def _segmenter(span: int, anchor: int):
@@ -115,13 +115,13 @@ def _segmenter(span: int, anchor: int):
                 if chars >= CHUNK or i == len(texts) - 1:
                     doc, s, e, a, g = _segments_of(texts[begin : i + 1], span, anchor)
                     names = ids.slice(begin, i + 1 - begin).take(pa.array(doc))
-                    yield pa.RecordBatch.from_arrays([names, *(pa.array(x.astype(np.int32)) for x in (s, e)), *(pa.array(x.view(np.int64)) for x in (a, g))], schema=_SEGMENT)
+                    yield pa.RecordBatch.from_arrays([names, *(pa.array(x.astype(np.int32)) for x in (s, e)), pa.array(a.view(np.int64)), pa.array(g, pa.binary())], schema=_SEGMENT)
                     begin, chars = i + 1, 0
 
     return run
 
 
-_VERDICT = pa.schema([("a", pa.int64()), ("g", pa.int64()), ("runs", pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32())])))])
+_VERDICT = pa.schema([("a", pa.int64()), ("g", pa.binary()), ("runs", pa.list_(pa.struct([("o", pa.int32()), ("n", pa.int32())]))), ("others", pa.list_(pa.string()))])
 
 
 def _runs(hits: list[int]) -> list[dict[str, int]]:
@@ -135,8 +135,9 @@ def _runs(hits: list[int]) -> list[dict[str, int]]:
     return out
 
 
-def _comparer(span: int):
-    """Rows (a, g, lo, hi, t) come sorted by a. For segments of one record: which of their windows others have."""
+def _comparer(span: int, links: bool):
+    """Rows (a, g, lo, hi, t) come sorted by a. For segments of one record: which of their windows others have, and
+    the smallest and largest of those records for each of these windows. With `links`, for all segments."""
 
     def one(rows: list[tuple]) -> Iterator[tuple]:
         seen: dict[str, tuple[str, str]] = {}
@@ -146,8 +147,8 @@ def _comparer(span: int):
                 old = seen.get(w)
                 seen[w] = (lo, hi) if old is None else (min(lo, old[0]), max(hi, old[1]))
         for a, g, lo, hi, t in rows:
-            if lo == hi and (hits := [i for i in range(len(t) - span + 1) if (x := seen[t[i : i + span]])[0] != x[1]]):
-                yield a, g, _runs(hits)
+            if (links or lo == hi) and (hits := [i for i in range(len(t) - span + 1) if (x := seen[t[i : i + span]])[0] != x[1]]):
+                yield a, g, _runs(hits), sorted({x for i in hits for x in seen[t[i : i + span]]} - {lo})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -158,8 +159,8 @@ def _comparer(span: int):
                     out.extend(one(rows))
                     rows = []
                 rows.append(row)
-            yield pa.RecordBatch.from_pylist([dict(zip(("a", "g", "runs"), x)) for x in out], schema=_VERDICT)
-        yield pa.RecordBatch.from_pylist([dict(zip(("a", "g", "runs"), x)) for x in (one(rows) if rows else ())], schema=_VERDICT)
+            yield pa.RecordBatch.from_pylist([dict(zip(_VERDICT.names, x)) for x in out], schema=_VERDICT)
+        yield pa.RecordBatch.from_pylist([dict(zip(_VERDICT.names, x)) for x in (one(rows) if rows else ())], schema=_VERDICT)
 
     return run
 
@@ -176,8 +177,28 @@ def shared_runs(records: DataFrame, span: int = 120, anchor: int = ANCHOR) -> Da
     combine on the map side to smallest and largest id; the join back splits hot segments (join_counted), and an
     anchor with more than STREAM_SEGMENTS segments goes the exploded way. Texts travel a second time only for
     segments near an edit."""
+    return merge_stretches(_shared_windows(records, span, anchor, links=False)[0])
+
+
+def span_clusters(records: DataFrame, span: int = 120, anchor: int = ANCHOR) -> DataFrame:
+    """(file_id, cluster_id, size, links) of the records that share a stretch of `span` characters with another one:
+    the smallest id of their connected component, its number of records, and with how many groups of equal or
+    overlapping windows the record is linked. All but the record cluster_id names may go, if a cluster should be
+    represented once; links between different records all count, through the smallest id of each group."""
+    links = _shared_windows(records, span, anchor, links=True)[1]
+    star = cut(links.groupBy("file_id", "other").agg(F.count("*").alias("n")))
+    groups = cut(group_matches(undirected(star, "file_id", "other")))
+    sizes = groups.groupBy("group_id").agg(F.count("*").alias("size"))
+    own = star.groupBy("file_id").agg(F.sum("n").alias("links"))
+    return groups.join(sizes, "group_id").join(own, groups.node == own.file_id, "left").select(F.col("node").alias("file_id"), F.col("group_id").alias("cluster_id"), "size", F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def _shared_windows(records: DataFrame, span: int, anchor: int, links: bool) -> tuple[DataFrame, DataFrame]:
+    """(file_id, b, z: stretches of shared windows; file_id, other: a record and the smallest of those it shares a
+    segment or, with `links`, a window with). Stretches need windows compared only where a segment has one record;
+    links need them wherever an anchor has several segments."""
     docs = cut(records.where((F.char_length("text") >= span) & F.col("file_id").isNotNull()).select("file_id", "text"))
-    schema = "file_id string, s int, e int, a long, g long"
+    schema = "file_id string, s int, e int, a long, g binary"
     segs = cut(docs.mapInArrow(_segmenter(span, anchor), schema))
     place = F.struct("file_id", "s", "e")
     groups = cut(segs.groupBy("a", "g").agg(F.min(place).alias("rep"), F.max("file_id").alias("hi"), F.count("*").alias("n")))
@@ -185,7 +206,7 @@ def shared_runs(records: DataFrame, span: int = 120, anchor: int = ANCHOR) -> Da
     anchors = (
         groups.groupBy("a")
         .agg(F.min("rep.file_id").alias("alo"), F.max("hi").alias("ahi"), F.count("*").alias("ng"), F.max(lone.cast("int")).alias("open"))
-        .where("alo <> ahi and open = 1")
+        .where(F.expr("alo <> ahi and (open = 1 or ng > 1)" if links else "alo <> ahi and open = 1"))
         .select("a", "ng")
     )
     unsure = groups.join(cut(anchors), "a").select("a", "g", "hi", "ng", "rep.*")
@@ -194,18 +215,21 @@ def shared_runs(records: DataFrame, span: int = 120, anchor: int = ANCHOR) -> Da
     )
     known = cut(known)
     stream = known.where(F.col("ng") <= STREAM_SEGMENTS).select("a", "g", "lo", "hi", "t")
-    by_text = stream.repartition("a").sortWithinPartitions("a", "g").mapInArrow(_comparer(span), "a long, g long, runs array<struct<o:int,n:int>>")
+    by_text = stream.repartition("a").sortWithinPartitions("a", "g").mapInArrow(_comparer(span, links), "a long, g binary, runs array<struct<o:int,n:int>>, others array<string>")
     offsets = F.sequence(F.lit(0), F.length("t") - span)
     many = known.where(F.col("ng") > STREAM_SEGMENTS).select("a", "g", "lo", "hi", "t", F.explode(offsets).alias("o"))
     many = many.select("a", "g", "lo", "hi", "o", F.col("t").substr(F.col("o") + 1, F.lit(span)).alias("w"))
-    common = many.groupBy("a", "w").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h").select("a", "w")
-    by_rows = many.where("lo = hi").join(common, ["a", "w"], "left_semi").groupBy("a", "g").agg(F.sort_array(F.collect_list(F.struct("o", F.lit(1).alias("n")))).alias("runs"))
-    sure = groups.where(~lone).select("a", "g", F.array(F.struct(F.lit(0).alias("o"), (F.col("rep.e") - F.col("rep.s")).alias("n"))).alias("runs"))
+    common = many.groupBy("a", "w").agg(F.min("lo").alias("l"), F.max("hi").alias("h")).where("l <> h")
+    lone_windows = many.where(F.lit(links) | (F.col("lo") == F.col("hi"))).join(common, ["a", "w"]).groupBy("a", "g")  # the windows of one segment, bounded by its length
+    by_rows = lone_windows.agg(F.sort_array(F.collect_list(F.struct("o", F.lit(1).alias("n")))).alias("runs"), F.array_union(F.collect_set("l"), F.collect_set("h")).alias("others"))
+    sure = groups.where(~lone).select("a", "g", F.array(F.struct(F.lit(0).alias("o"), (F.col("rep.e") - F.col("rep.s")).alias("n"))).alias("runs"), F.lit(None).cast("array<string>").alias("others"))
     verdicts = sure.unionByName(by_text).unionByName(by_rows)
-    counted = cut(verdicts.join(groups.select("a", "g", "n"), ["a", "g"]))
-    hits = join_counted(segs, counted, ["a", "g"], "n").select("file_id", "s", F.inline("runs"))
+    counted = cut(verdicts.join(groups.select("a", "g", "n", F.col("rep.file_id").alias("own")), ["a", "g"]))
+    hits = join_counted(segs, counted.select("a", "g", "n", "runs"), ["a", "g"], "n").select("file_id", "s", F.inline("runs"))
     stretches = hits.select("file_id", (F.col("s") + F.col("o")).alias("b"), (F.col("s") + F.col("o") + F.col("n") + (span - 1)).alias("z"))
-    return merge_stretches(stretches)
+    alike = segs.join(groups.where(~lone).select("a", "g", F.col("rep.file_id").alias("other")), ["a", "g"]).select("file_id", "other").where("file_id <> other")
+    near = counted.select(F.col("own").alias("file_id"), F.explode("others").alias("other")).where("file_id <> other")
+    return stretches, alike.unionByName(near)
 
 
 def merge_stretches(stretches: DataFrame) -> DataFrame:

@@ -76,32 +76,22 @@ def pair_components(entities: DataFrame) -> DataFrame:
 
 
 def assign_roles(components: DataFrame, shares: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
-    """(dataset_name, row_index, component, role) for rows with a component: in every data set, components larger
-    than the smallest share go to train first, the others fill what is missing of the roles in the order of their
-    hashes; a component has the role in whose range its middle falls. So no component has two roles, and a role
-    misses its share by less than the largest component that isn't in train by its size, or by what such oversized
-    components leave. Null data set names are one data set.
+    """(dataset_name, row_index, component, role) for rows with a component. In every data set, components line up
+    in the order of their hashes; train takes the first of them up to its share, validation the next, test the rest:
+    a component has the role in whose range its middle falls. So no component has two roles, a role misses its
+    share by less than the largest component, and a component that is a data set by itself leaves nothing to the
+    other roles (share_report() says what was reached). Null data set names are one data set.
 
     Scale: sums by component combine on the map side; totals run over ordered buckets of the hash (running_totals),
     so that no data set is sorted in one task."""
     if abs(sum(shares) - 1) > 1e-9 or min(shares) < 0:
         raise ValueError("shares must be at least 0 and sum to 1")
-    least = min(s for s in shares if s > 0)
     rows = components.withColumn("ds", F.coalesce("dataset_name", F.lit("")))
-    sizes = cut(rows.groupBy("ds", "component").agg(F.count("*").alias("size")))
+    sizes = cut(rows.groupBy("ds", "component").agg(F.count("*").alias("size")).withColumn("h", F.xxhash64("component")))
     totals = sizes.groupBy("ds").agg(F.sum("size").alias("total"))
-    sized = sizes.join(totals, "ds").withColumn("big", F.col("size") > F.col("total") * least)
-    sized = sized.withColumn("h", F.xxhash64("component")).withColumn("pinned", F.when(F.col("big"), F.col("size")).otherwise(0))
-    pinned = sized.groupBy("ds").agg(F.sum("pinned").alias("in_train"))
-    rest = cut(sized.where(~F.col("big")).select("ds", "component", "size", "h", "total"))
-    placed = running_totals(rest, ["ds"], "h", "size", "before").join(pinned, "ds")
-    middle = F.col("before") + F.col("size") / 2
-    train = F.greatest(F.lit(0.0), F.col("total") * shares[0] - F.col("in_train"))
-    left = F.col("total") - F.col("in_train") - train
-    others = shares[1] + shares[2]
-    valid = train + left * (shares[1] / others if others else 0.0)
-    role = F.when(middle < train, ROLES[0]).when(middle < valid, ROLES[1]).otherwise(ROLES[2] if shares[2] else ROLES[1] if shares[1] else ROLES[0])
-    roles = placed.select("ds", "component", role.alias("role")).unionByName(sized.where("big").select("ds", "component", F.lit(ROLES[0]).alias("role")))
+    middle = (F.col("before") + F.col("size") / 2) / F.col("total")
+    role = F.when(middle < shares[0], ROLES[0]).when(middle < shares[0] + shares[1], ROLES[1]).otherwise(ROLES[2] if shares[2] else ROLES[1] if shares[1] else ROLES[0])
+    roles = running_totals(sizes, ["ds"], "h", "size", "before").join(totals, "ds").select("ds", "component", role.alias("role"))
     return rows.join(cut(roles), ["ds", "component"]).select("dataset_name", "row_index", "component", "role")
 
 
@@ -126,7 +116,23 @@ def leaking_entities(splits: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def share_report(roles: DataFrame) -> DataFrame:
-    """(dataset_name, role, pairs, components, share): what the assignment came to."""
+    """(dataset_name, role, pairs, components, largest, share): what the assignment came to; largest is the size of
+    the role's largest component."""
     own = Window.partitionBy("dataset_name")
-    counts = roles.groupBy("dataset_name", "role").agg(F.count("*").alias("pairs"), F.countDistinct("component").alias("components"))
+    sizes = roles.groupBy("dataset_name", "role", "component").agg(F.count("*").alias("size"))
+    counts = sizes.groupBy("dataset_name", "role").agg(F.sum("size").alias("pairs"), F.count("*").alias("components"), F.max("size").alias("largest"))
     return counts.withColumn("share", F.round(F.col("pairs") / F.sum("pairs").over(own), 6))
+
+
+def check_roles(roles: DataFrame, entities: DataFrame, shares: tuple[float, float, float] = (0.8, 0.1, 0.1)) -> DataFrame:
+    """(dataset_name, pairs, divided, off): the rows of each data set, how many of its entities (see pair_entities())
+    have more than one role, and how many roles miss their share by the largest component or more."""
+    role_no = F.array_position(F.array(*map(F.lit, ROLES)), F.col("role")).cast("int")
+    both = entities.join(roles.select("dataset_name", "row_index", role_no.alias("no")), ["dataset_name", "row_index"])
+    entity = both.select("dataset_name", "no", F.explode(F.array_distinct(F.array("left", "right"))).alias("e")).where("e is not null")
+    divided = entity.groupBy("dataset_name", "e").agg(F.min("no").alias("lo"), F.max("no").alias("hi")).groupBy("dataset_name").agg(F.sum((F.col("lo") < F.col("hi")).cast("int")).alias("divided"))
+    report = share_report(roles)
+    whole = report.groupBy("dataset_name").agg(F.sum("pairs").alias("pairs"), F.max("largest").alias("largest"), F.map_from_entries(F.collect_list(F.struct("role", "pairs"))).alias("got"))  # three roles
+    miss = lambda role, share: (F.abs(F.coalesce(F.element_at("got", role), F.lit(0)) - F.col("pairs") * share) >= F.col("largest") + 1e-6).cast("int")
+    off = sum((miss(r, s) for r, s in zip(ROLES[1:], shares[1:])), miss(ROLES[0], shares[0]))
+    return whole.select("dataset_name", "pairs", off.alias("off")).join(divided, "dataset_name", "left").select("dataset_name", "pairs", F.coalesce("divided", F.lit(0)).alias("divided"), "off")

@@ -206,3 +206,57 @@ def test_shared_share_and_submissions(spark, rows):
     assert got["b"][0] == len(text)
     none = spark.createDataFrame([], "file_id string, text string")
     assert spans.shared_runs(none).count() == 0
+
+
+def test_span_clusters_lose_no_link(spark):
+    """Against components of all pairs that share a window, for both ways of comparing windows."""
+    import random
+
+    from kinsift.llm import spans
+
+    draw = random.Random(5)
+    base = ["".join(draw.choice("abcdefgh \n") for _ in range(90)) for _ in range(6)]
+    texts = {f"r{i:02}": "".join(draw.choice(base)[draw.randrange(40) :] for _ in range(draw.randrange(1, 4))) for i in range(24)}
+    texts |= {"x": texts["r00"], "empty": "", "short": "abc"}
+    span, owner = 30, {}
+    root = {k: k for k in texts}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = set()
+    for k, t in texts.items():
+        for i in range(len(t) - span + 1):
+            other = owner.setdefault(t[i : i + span], k)
+            if other != k:
+                a, b = sorted((find(other), find(k)))
+                root[b] = a
+                linked |= {other, k}
+    want = {k: find(k) for k in linked}
+    df = spark.createDataFrame([(k, v) for k, v in texts.items()] + [("null", None)], "file_id string, text string")
+    for stream in (0, 2000):
+        old, spans.STREAM_SEGMENTS = spans.STREAM_SEGMENTS, stream
+        try:
+            got = {r.file_id: (r.cluster_id, r.size) for r in spans.span_clusters(df, span, 12).collect()}
+        finally:
+            spans.STREAM_SEGMENTS = old
+        assert {k: c for k, (c, _) in got.items()} == want
+        assert all(n == sum(c == o for o, _ in got.values()) for c, n in got.values())
+    assert spans.span_clusters(df.limit(0), span, 12).count() == 0
+
+
+def test_pieces_and_packing_are_checked(spark):
+    from kinsift.llm.packing import check_packing, pack
+    from kinsift.llm.pieces import check_pieces, split_long
+
+    records = spark.createDataFrame([("a", "def f():\n    return 1\n" * 30), ("b", "x" * 260), ("c", "short")], "file_id string, text string")
+    pieces = split_long(records, 100, 10)
+    assert sorted(tuple(r)[2:] for r in check_pieces(pieces, records, 100, 10).collect()) == [(0, 0, True)] * 2
+    broken = pieces.where("piece_no <> 1")
+    assert all(not r.whole for r in check_pieces(broken, records, 100, 10).collect())
+    items = spark.createDataFrame([(i, n) for i, n in enumerate([5, 5, 3, 2, 12, 0])], "id int, n int")
+    packed = pack(items, "id", "n", 10)
+    assert tuple(check_packing(packed, items, "id", "n", 10).first()) == (27, 0, 0, 0, 0)
+    assert check_packing(packed.where("tokens <> 3"), items, "id", "n", 10).first().lost == -3
