@@ -29,6 +29,8 @@ from kinsift.session import spread
 KINDS = ("email", "phone", "id_number", "address", "name")
 #: No segment is longer than this.
 MOST_CHARS = 160
+#: Nor has a name more words (with its initials and particles) before the one that is known or rare.
+MOST_WORDS = 16
 #: Chinese characters beside a name that are worth at least this much tell family names that the hints lack.
 SIGN = 0.15
 #: Levels of a capitalised word's document frequency, each twice the one before; from EVERYDAY on it is no name by itself.
@@ -382,11 +384,16 @@ def _addresses(text: str, lexicon: Lexicon, context: _Context) -> Iterator[Segme
 
 
 def _names(text: str, lexicon: Lexicon, context: _Context) -> Iterator[Segment]:
-    marks = set(map(lexicon.mark, _LETTERS.findall(text)))
-    if marks != {""}:
+    marks = list(map(lexicon.mark, _LETTERS.findall(text)))
+    if any(marks):
         titles = "title" in marks
         words = [(m.start(), m.group()) for m in _LETTERS.finditer(text)]
-        for i, (b, w) in enumerate(words):
+        near: set[int] = set()  # a name holds a word that is marked, or follows a title
+        for j, mark in enumerate(marks):
+            if mark:
+                near.update(range(max(0, j - MOST_WORDS), min(len(words), j + 1 + MOST_WORDS * (mark == "title"))))
+        for i in sorted(near):
+            b, w = words[i]
             if not w[0].isupper() or (b and text[b - 1] in "'’-" and b > 1 and text[b - 2].isalpha()):
                 continue
             after = i + 1  # a name goes on with a capital letter, after particles at most
