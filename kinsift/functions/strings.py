@@ -197,3 +197,13 @@ def blake_fingerprints(tokens: Column | str, k: int = 5, w: int = 4) -> Column:
         return rows.map(lambda t: blake_fingerprints_of(list(t) if t is not None else [], k, w))
 
     return run(tokens)
+
+
+def py_round(value: Column | str, digits: int = 4) -> Column:
+    """Rounded as Python does: half to even on the exact binary value. Spark's own round takes halves up."""
+
+    @F.pandas_udf("double")
+    def run(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None or x != x else round(float(x), digits))
+
+    return run(value)

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from kinsift.functions.ids import strip
 from kinsift.functions.strings import levenshtein_at_least
+from kinsift.functions.vectors import hash_vector
+from kinsift.operators import datasets
 from kinsift.session import cut, spread
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
@@ -129,7 +131,7 @@ def project(vectors: DataFrame, dims: int = 2) -> DataFrame:
 
     parts = rows.select("e").mapInPandas(part, "n long, s array<double>, o array<double>").collect()  # a row a partition
     if not parts:
-        return vectors.sparkSession.createDataFrame([], "id long, x double, y double")
+        return rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     n = sum(p.n for p in parts)
     mean = np.sum([p.s for p in parts], axis=0) / n
     cov = np.sum([p.o for p in parts], axis=0).reshape(len(mean), -1) / n - np.outer(mean, mean)
@@ -140,3 +142,24 @@ def project(vectors: DataFrame, dims: int = 2) -> DataFrame:
     centred = F.zip_with("e", F.array(*[F.lit(float(v)) for v in mean]), lambda a, b: a - b)
     dot = lambda axis: F.aggregate(F.zip_with(centred, axis, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
     return rows.select("id", dot(x).alias("x"), dot(y).alias("y"))
+
+
+def embedding_map(files: DataFrame, pairs: DataFrame | None = None, queries: DataFrame | None = None, corpus: DataFrame | None = None, dim: int = 256, metadata: DataFrame | None = None, method: str = "auto") -> DataFrame:
+    """(document_id, x, y, role, pair_count and the files' other columns) of a data set's files (file_id, text): hashed
+    token vectors on their first two principal axes. role is submission, or query, document, both or other in a
+    retrieval data set; columns of metadata (document_id, ...) replace those of the same name."""
+    if method not in ("auto", "pca"):
+        raise ImportError(f"projection by {method} needs a library that isn't installed; auto and pca are here")
+    vectors_ = cut(files.select(F.col("file_id").alias("id"), hash_vector("text", dim).alias("embedding")))
+    points = project(vectors_).withColumnRenamed("id", "document_id")
+    own = files.drop("text").withColumnRenamed("file_id", "document_id")
+    out = points.join(own, "document_id", "left")
+    if queries is not None and corpus is not None:
+        roles = datasets.file_roles(queries, corpus).withColumnRenamed("file_id", "document_id")
+        out = out.join(roles, "document_id", "left").withColumn("role", F.coalesce("role", F.lit("other")))
+    else:
+        out = out.withColumn("role", F.lit("submission"))
+        if pairs is not None:
+            counts = datasets.pair_file_counts(pairs).withColumnRenamed("file_id", "document_id")
+            out = out.join(counts, "document_id", "left").fillna(0, ["pair_count"])
+    return out if metadata is None else datasets.with_metadata(out, metadata)

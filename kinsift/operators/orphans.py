@@ -5,7 +5,6 @@ sent to the range their key falls into, and probed there in vectorised batches b
 
 from __future__ import annotations
 
-import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +16,10 @@ from pyspark.sql import functions as F
 from kinsift.functions.ids import ref_id
 from kinsift.session import cut
 
-#: Keys of one range: its sorted array, with two times a key, stays near 10 MB.
+#: Keys of one range at most: its sorted array, with two times a key, stays near 10 MB.
 KEYS_PER_RANGE = 200_000
-MOST_RANGES = 100_000
+#: Few keys still make several ranges, so that the references are probed on all cores, but none of fewer than these.
+LEAST_KEYS = 2_000
 REFERENCE = "table_name string, field_name string, target string, ref_id string, period string, first_us long, last_us long"
 MISS = "table_name string, field_name string, period string, ref_id string, reason string"
 _NEVER = np.iinfo(np.int64).max
@@ -101,31 +101,24 @@ def find_orphans(refs: DataFrame, parent_rows: DataFrame) -> DataFrame:
     gone by then); a key may be early for one reference of a month and deleted for another. Untimed references
     can only be missing. Null and empty keys are no references. An empty parent table makes every reference
     missing; an empty reference table gives no rows. Extra columns of the inputs are never read."""
-    refs = cut(refs)
+    parent_rows = cut(parent_rows)
     total = parent_rows.count()
-    ranges = max(1, min(MOST_RANGES, -(-total // KEYS_PER_RANGE)))
+    width = int(parent_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-total // KEYS_PER_RANGE), min(width, total // LEAST_KEYS))
     arrays = cut(parent_rows.repartitionByRange(ranges, "target", "key").mapInArrow(_arrays, _ARRAY))
-    # One entry a range and target: at most MOST_RANGES and the number of targets.
-    lows = sorted((r.target, r.low.encode()) for r in arrays.select("target", "low").collect())
-    ids = {t: i for i, t in enumerate(lows)}
+    # An entry a range and target: their number grows by one for KEYS_PER_RANGE keys. Strings sort as their UTF-8 does.
+    lows = sorted(r.target + "\0" + r.low for r in arrays.select("target", "low").collect())
+    heads = [x.partition("\0")[0] for x in lows]
 
     @F.pandas_udf("int")
     def range_of(target: pd.Series, key: pd.Series) -> pd.Series:
-        found = []
-        for t, k in zip(target, key):
-            at = bisect.bisect_right(lows, (t, k.encode())) - 1
-            found.append(at if at >= 0 and lows[at][0] == t else -1)
-        return pd.Series(found, dtype="int32")
-
-    number = F.pandas_udf(lambda t, k: pd.Series([ids[(a, b.encode())] for a, b in zip(t, k)], dtype="int32"), "int")
-    spread = _spread(refs, ranges)
-    sides = refs.withColumn("rng", range_of("target", "ref_id")).withColumn("part", F.pmod(F.xxhash64("ref_id"), F.lit(spread)))
-    tables = arrays.withColumn("rng", number("target", "low")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))).withColumn("part", F.col("part").cast("long"))
+        at = np.searchsorted(np.array(lows, dtype=object), (target + "\0" + key).to_numpy(dtype=object), side="right") - 1
+        own = np.array([*heads, ""], dtype=object)[at]
+        return pd.Series(np.where((at >= 0) & (own == target.to_numpy(dtype=object)), at, -1), dtype="int32")
+
+    placed = cut(refs.withColumn("rng", range_of("target", "ref_id")))
+    # Only a range with very many references is split, and only its array copied.
+    parts = cut(placed.groupBy("rng").agg(F.ceil(F.count("*") / KEYS_PER_RANGE).cast("int").alias("parts")))
+    sides = placed.join(F.broadcast(parts), "rng").withColumn("part", F.pmod(F.xxhash64("ref_id"), F.col("parts")).cast("int")).drop("parts")
+    tables = arrays.withColumn("rng", range_of("target", "low")).join(F.broadcast(parts), "rng").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     return sides.groupBy("rng", "part").cogroup(tables.groupBy("rng", "part")).applyInPandas(_probe, MISS)
-
-
-def _spread(refs: DataFrame, ranges: int) -> int:
-    """Into how many parts the references of a range are split: few ranges still use the cluster, and no part
-    gets more than about KEYS_PER_RANGE references, however many fall into one range."""
-    width = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, width // ranges, -(-refs.count() // (ranges * KEYS_PER_RANGE)))

@@ -57,19 +57,17 @@ def usable_relevance(text: Column) -> Column:
     return F.when((number >= 0) & (number < float("inf")), number)
 
 
-def parse_rows(lines: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
-    """(usable, unusable) of the rows of `lines` (raw_id, target, line; other columns are left alone).
+_NAMES = {"pairs": ("left_id", "right_id", "label", "problem"), "qrels": ("query_id", "document_id", "relevance", "comment")}
 
-    usable: raw_id, the first two fields stripped, the typed third and the fourth, named as in the target.
-    unusable: raw_id, reason (the first that applies: bad_quoting, column_count, bad_value).
-    A null line is an empty record (column_count); rows of another or a null target are in neither result.
-    Repeated rows are judged each by itself and stay repeated in usable; unusable has each raw_id and reason
-    once per distinct record. No cut-offs, no sampling: a record may hold any number of fields of any length."""
-    spark = lines.sparkSession
-    names = {"pairs": ("left_id", "right_id", "label", "problem"), "qrels": ("query_id", "document_id", "relevance", "comment")}[target]
-    rows = lines.where(F.col("target") == target).select(
+
+def _split(lines: DataFrame, targets: list[str]) -> DataFrame:
+    return lines.where(F.col("target").isin(targets)).select(
         "raw_id", "target", F.coalesce("raw_id", F.lit(-1)).alias("_row"), F.xxhash64("line").alias("_text"), split_record(F.col("line")).alias("_fields")
     )
+
+
+def _errors(rows: DataFrame) -> DataFrame:
+    """(_row, _text, target, raw_id, reason) of the records that break a rule."""
     pair = lambda col, value: F.struct(F.lit(col).cast("int").alias("col"), value.alias("value"))
     head = F.array(
         pair(-1, F.when(F.col("_fields").isNull(), "bad").otherwise("good")),
@@ -77,7 +75,7 @@ def parse_rows(lines: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
     )
     body = F.transform(F.slice(F.coalesce("_fields", F.array().cast("array<string>")), 1, 3), lambda x, i: F.struct(i.alias("col"), x.alias("value")))
     cells = rows.select("raw_id", "_row", "_text", "target", F.inline(F.concat(head, body)))
-    rules = spark.createDataFrame([r for r in RULES if r[0] == target], _RULE_SCHEMA)  # fixed: ten rules
+    rules = rows.sparkSession.createDataFrame(RULES, _RULE_SCHEMA)  # fixed: ten rules
     value, text = F.col("value"), strip("value")
     holds = (
         F.when(F.col("rule") == "equals", value.isNull() | (value == F.col("arg")))
@@ -85,16 +83,28 @@ def parse_rows(lines: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
         .when(F.col("rule") == "label", usable_label(text).isNotNull())
         .when(F.col("rule") == "relevance", usable_relevance(text).isNotNull())
     )
-    errors = (
-        cells.join(F.broadcast(rules), ["target", "col"])
-        .where(~holds)
-        .groupBy("_row", "_text", "raw_id")
-        .agg(F.min(F.struct("rank", "reason")).alias("first"))
-    )
-    unusable = errors.select("raw_id", F.col("first.reason").alias("reason"))
+    broken = cells.join(F.broadcast(rules), ["target", "col"]).where(~holds).groupBy("_row", "_text", "target", "raw_id")
+    return broken.agg(F.min(F.struct("rank", "reason")).alias("first")).select("_row", "_text", "target", "raw_id", "first.reason")
+
+
+def unusable_rows(lines: DataFrame, targets: list[str] = ("pairs", "qrels")) -> DataFrame:
+    """(raw_id, reason) of the unusable records of several targets, in one pass; see parse_rows()."""
+    return _errors(_split(lines, list(targets))).select("raw_id", "reason")
+
+
+def parse_rows(lines: DataFrame, target: str) -> tuple[DataFrame, DataFrame]:
+    """(usable, unusable) of the rows of `lines` (raw_id, target, line; other columns are left alone).
+
+    usable: raw_id, the first two fields stripped, the typed third and the fourth, named as in the target.
+    unusable: raw_id, reason (the first that applies: bad_quoting, column_count, bad_value).
+    A null line is an empty record (column_count); rows of another or a null target are in neither result.
+    Repeated rows are judged each by itself and stay repeated in usable; unusable has each raw_id and reason
+    once per distinct record. No cut-offs, no sampling: a record may hold any number of fields of any length."""
+    names, rows = _NAMES[target], _split(lines, [target])
+    errors = _errors(rows)
     good = rows.join(errors, ["_row", "_text"], "left_anti")
     third = usable_label(strip(F.col("_fields")[2])) if target == "pairs" else usable_relevance(strip(F.col("_fields")[2]))
     usable = good.select(
         "raw_id", strip(F.col("_fields")[0]).alias(names[0]), strip(F.col("_fields")[1]).alias(names[1]), third.alias(names[2]), F.col("_fields")[3].alias(names[3])
     )
-    return usable, unusable
+    return usable, errors.select("raw_id", "reason")

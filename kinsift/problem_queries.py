@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from kinsift.functions.ids import ref_id_sql, strip_sql
 from kinsift.functions.labels import STRICT_NEGATIVE, STRICT_POSITIVE, number_sql
 from kinsift.operators.orphans import find_orphans, parents, references
-from kinsift.operators.parse_rows import parse_rows
+from kinsift.operators.parse_rows import parse_rows, unusable_rows
 from kinsift.session import table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "raw_lines")
-    return parse_rows(lines, "pairs")[1].unionByName(parse_rows(lines, "qrels")[1]).distinct()
+    return unusable_rows(table(spark, sf_dir, "raw_lines")).distinct()
 
 
 def p4_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import json
+import tarfile
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path, PurePosixPath
@@ -30,7 +31,7 @@ def read_collection(spark: SparkSession, path: str) -> DataFrame:
     where = Path(path)
     if where.is_dir():
         return read_directory(spark, path)
-    if where.suffix.lower() == ".zip" and where.is_file():
+    if where.is_file() and zipfile.is_zipfile(where):
         return read_zip(spark, path)
     raise ValueError(f"neither a directory nor a zip archive: {path}")
 
@@ -85,9 +86,19 @@ def safe_members(archive: zipfile.ZipFile, destination: str) -> list[zipfile.Zip
     return archive.infolist()
 
 
-def extract_zip(path: str, destination: str) -> None:
-    with zipfile.ZipFile(path) as archive:
-        archive.extractall(destination, safe_members(archive, destination))
+def extract_archive(path: str, destination: str) -> None:
+    """A zip or tar archive unpacked; members and links that would leave the destination are an error."""
+    if zipfile.is_zipfile(path):
+        with zipfile.ZipFile(path) as archive:
+            archive.extractall(destination, safe_members(archive, destination))
+        return
+    root = Path(destination).resolve()
+    with tarfile.open(path) as archive:
+        for member in archive.getmembers():
+            targets = [root / member.name] + ([(root / member.name).parent / member.linkname] if member.issym() or member.islnk() else [])
+            if not all(t.resolve().is_relative_to(root) for t in targets) or member.isdev():
+                raise ValueError(f"unsafe archive member: {member.name}")
+        archive.extractall(destination, filter="data")
 
 
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -118,13 +129,13 @@ def discover_tables(root: str, table: str | None = None, split: str | None = Non
     """Table files below root: the requested one first, then those whose name speaks of the split, then the rest."""
     suffixes = {".csv", ".tsv", ".tab", ".jsonl", ".json", ".parquet"}
     found = sorted(p for p in Path(root).rglob("*") if p.suffix.lower() in suffixes and _visible(str(p.relative_to(root))))
-    wanted = (split or "").lower()
+    wanted = (split or "").strip().lower()
+    names = {wanted, wanted.replace("-", "_"), wanted.replace("_", "-")} - {""}
 
     def place(p: Path) -> tuple[int, str]:
         if table and (str(p.relative_to(root)) == table or p.name == table):
             return 0, str(p)
-        stem = p.stem.lower()
-        return (1 if wanted and (stem == wanted or wanted in stem.replace("-", "_").split("_")) else 2), str(p)
+        return (1 if p.stem.lower() in names or p.name.lower() in names else 2), str(p)
 
     return [str(p) for p in sorted(found, key=place)]
 
@@ -166,10 +177,11 @@ def read_retrieval_dataset(spark: SparkSession, root: str) -> tuple[DataFrame, D
     return read_files(spark, root), *tables, read_metadata(root)
 
 
-def read_trec_qrels(spark: SparkSession, path: str) -> DataFrame:
+def read_trec_qrels(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
     """(query_id, document_id, relevance): lines of four or more fields are query, run, document, relevance; of two
     or three, query and document with relevance 1. Other lines are left out."""
     parts = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(path).select(parts.alias("p")).where(F.size("p") >= 2)
+    reader = spark.read if pattern is None else spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern)
+    rows = reader.text(path).select(parts.alias("p")).where(F.size("p") >= 2)
     four = F.size("p") >= 4
     return rows.select(F.col("p")[0].alias("query_id"), F.when(four, F.get("p", F.lit(2))).otherwise(F.col("p")[1]).alias("document_id"), F.when(four, F.get("p", F.lit(3)).try_cast("double")).otherwise(1.0).alias("relevance"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -19,6 +20,11 @@ class DatasetEntry:
     license: str = ""
     source_url: str = ""
     notes: str = ""
+    source: str = "local"
+    identifier: str = ""
+    adapter: str = ""
+    retrieval_adapter: str = ""
+    task_families: tuple[str, ...] = ("pair",)
 
 
 @dataclass
@@ -59,9 +65,25 @@ def _remote(name: str) -> Callable[..., str]:
     return resolve
 
 
+def resolve_source(name: str, location: str, **options) -> str:
+    """The local path of a source; of the options, the resolver gets those its signature takes."""
+    resolver = SOURCES.get(name)
+    names = inspect.signature(resolver).parameters
+    every = any(p.kind is p.VAR_KEYWORD for p in names.values())
+    return resolver(location, **{k: v for k, v in options.items() if every or k in names})
+
+
 SOURCES = Registry("source", {"local": _local, **{n: _remote(n) for n in ("github", "zenodo", "huggingface", "kaggle")}})
 ADAPTERS = Registry("adapter")
-DATASETS = Registry("data set")
+# Public data sets, where they are and which adapter reads them.
+DATASETS = Registry("data set", {e.name: e for e in (
+    DatasetEntry("soco14", dataset_kind="retrieval", source="zenodo", identifier="7433031", source_url="https://zenodo.org/records/7433031", retrieval_adapter="soco14_retrieval", task_families=("retrieval",)),
+    DatasetEntry("irplag", source="github", identifier="oscarkarnalim/sourcecodeplagiarismdataset", source_url="https://github.com/oscarkarnalim/sourcecodeplagiarismdataset", adapter="irplag_pair", retrieval_adapter="irplag_retrieval", task_families=("pair", "retrieval")),
+    DatasetEntry("conplag", source="zenodo", identifier="7332790", source_url="https://zenodo.org/records/7332790", adapter="conplag_pair"),
+    DatasetEntry("ipca", source="github", identifier="humsha/IPCA", source_url="https://github.com/humsha/IPCA", adapter="ipca_pair"),
+    DatasetEntry("student_code_similarity", source="kaggle", identifier="ehsankhani/student-code-similarity-and-plagiarism-labels", source_url="https://www.kaggle.com/datasets/ehsankhani/student-code-similarity-and-plagiarism-labels", adapter="student_code_similarity_pair"),
+    DatasetEntry("criminal_minds", source="zenodo", identifier="19115559", source_url="https://zenodo.org/records/19115559", adapter="criminal_minds_pair"),
+)})
 
 
 def catalogue(task_type: str | None = None, dataset_kind: str | None = None) -> list[DatasetEntry]:
@@ -78,11 +100,17 @@ def load_manifest(path: str) -> list[dict]:
         value = yaml.safe_load(text)
     else:
         value = json.loads(text)
+    if not isinstance(value, dict):
+        raise ValueError("a manifest is an object")
+    if int(value.get("version", 1)) != 1:
+        raise ValueError("manifests have version 1")
     _reject_secrets(value)
     specs = value["datasets"] if "datasets" in value else [value["dataset"]] if "dataset" in value else [value]
     base = Path(path).resolve().parent
     out = []
     for spec in specs:
+        if not isinstance(spec, dict) or not (spec.get("path") or spec.get("identifier") or spec.get("preset")):
+            raise ValueError("a data set of a manifest needs a path, an identifier or a preset")
         own = dict(spec)
         if own.get("source", "local") == "local" and "path" in own and not Path(own["path"]).is_absolute():
             own["path"] = str(base / own["path"])

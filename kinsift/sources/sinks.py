@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import html
+import importlib.metadata
 import json
+from datetime import datetime, timezone
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,12 +74,23 @@ def write_metrics(metrics: DataFrame, path: str) -> dict:
     return value
 
 
-def html_table(df: DataFrame, title: str, limit: int = 1000) -> str:
-    """A static page; every value escaped. For tables of results, at most `limit` rows."""
+def html_page(title: str, *parts: str) -> str:
+    return f"<!doctype html><html lang='en'><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1>{''.join(parts)}</body></html>\n"
+
+
+def html_rows(columns: list[str], rows) -> str:
+    """A table of results; every value escaped."""
     cell = lambda v: html.escape("" if v is None else str(v))
-    head = "".join(f"<th>{cell(c)}</th>" for c in df.columns)
-    body = "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in row) + "</tr>" for row in df.limit(limit).collect())
-    return f"<!doctype html><html><head><meta charset='utf-8'><title>{cell(title)}</title></head><body><h1>{cell(title)}</h1><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table></body></html>\n"
+    head = "".join(f"<th>{cell(c)}</th>" for c in columns)
+    return f"<table><thead><tr>{head}</tr></thead><tbody>" + "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in row) + "</tr>" for row in rows) + "</tbody></table>"
+
+
+def html_table(df: DataFrame, title: str, limit: int | None = None) -> str:
+    """A static page of a table of results: all of it, or its first `limit` rows, and the page says so then."""
+    rows = list(df.toLocalIterator()) if limit is None else df.limit(limit + 1).collect()
+    more = limit is not None and len(rows) > limit
+    note = f"<p>The first {limit} rows.</p>" if more else ""
+    return html_page(title, note, html_rows(df.columns, rows[:limit]))
 
 
 def cache_key(config: dict, fingerprint: str, versions: dict, seed: int | None = None) -> str:
@@ -85,12 +98,35 @@ def cache_key(config: dict, fingerprint: str, versions: dict, seed: int | None =
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def cached(spark: SparkSession, root: str, key: str, make) -> DataFrame:
-    """make()'s result, kept as parquet under <key[:2]>/<key>; made only where it isn't there yet."""
-    path = f"{root}/{key[:2]}/{key}/results.parquet"
-    if not (Path(path) / "_SUCCESS").exists():
-        make().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def versions(names: tuple[str, ...] = ("pyspark", "pyarrow", "pandas", "numpy")) -> dict[str, str | None]:
+    out = {}
+    for name in names:
+        try:
+            out[name] = importlib.metadata.version(name)
+        except importlib.metadata.PackageNotFoundError:
+            out[name] = None
+    return out
+
+
+def _cache_path(root: str, key: str) -> Path:
+    return Path(root) / key[:2] / key
+
+
+def is_cached(root: str, key: str) -> bool:
+    return (_cache_path(root, key) / "results.parquet" / "_SUCCESS").exists()
+
+
+def cached(spark: SparkSession, root: str, key: str, make, metadata: dict | None = None) -> DataFrame:
+    """make()'s result, kept as parquet under <key[:2]>/<key> beside metadata.json; made only where it isn't there."""
+    path = _cache_path(root, key)
+    if not is_cached(root, key):
+        make().write.mode("overwrite").parquet(str(path / "results.parquet"))
+        _write_json(str(path / "metadata.json"), {"key": key, "created_utc": now(), **(metadata or {})})
+    return spark.read.parquet(str(path / "results.parquet"))
+
+
+def now() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="seconds")
 
 
 def register_run(path: str, run: dict) -> list[dict]:
