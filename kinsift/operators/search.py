@@ -10,46 +10,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinsift.functions.vectors import score_range
+from kinsift.session import spread
 
-#: Queries of one pass over the vectors: their matrix is what each task holds besides its batch.
+#: Queries of one block: their matrix is what a task holds besides its group of vectors.
 BLOCK = 4096
+#: Vectors of one meeting with a block.
+GROUP = 2048
+_GROUP = pa.schema([("vi", pa.list_(pa.int64())), ("ve", pa.list_(pa.list_(pa.float64())))])
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int = 10, function: str = "cosine", normalized: bool = False) -> DataFrame:
     """(query_id, vec_id, score, rank): for every row of queries (id, embedding) the k best rows of vectors (id,
-    embedding), itself among them if it is there; scores to 6 decimals, ties by the smaller id.
+    embedding), itself among them if it is there; scores to 6 decimals, ties by the smaller id. Null vectors are
+    left out.
 
-    Each pass takes BLOCK queries (a bounded collection) through all vectors; a batch keeps the k best by query,
-    so that the ranking shuffles k rows a query and batch. Null vectors are left out."""
+    The stated queries form blocks of about BLOCK by the hash of their id, each one row with its matrix; the vectors
+    form groups of about GROUP, packed as they are read. Every block meets every group once, in one job, as products
+    of two matrices; of each meeting only the k best by query are left for the ranking."""
     score_range(function)
-    spark = vectors.sparkSession
-    asked = queries.where("embedding is not null").select("id", "embedding")
-    base = vectors.where("embedding is not null").select("id", "embedding")
-    numbered = asked.withColumn("b", F.floor((F.row_number().over(Window.orderBy("id")) - 1) / BLOCK))
-    blocks = [r.b for r in numbered.select("b").distinct().collect()]
-    out = None
-    for b in sorted(blocks):
-        rows = numbered.where(F.col("b") == b).collect()
-        ids = np.array([r.id for r in rows], dtype=np.int64)
-        matrix = np.array([r.embedding for r in rows], dtype=np.float64)
+    asked = queries.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("e"))
+    n = max(1, -(-asked.count() // BLOCK))
+    blocks = asked.groupBy(F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.collect_list("id").alias("qi"), F.collect_list("e").alias("qe"))  # BLOCK rows each
 
-        def run(batches: Iterator[pa.RecordBatch], ids: np.ndarray = ids, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                own = batch.column("id").to_numpy(zero_copy_only=False)
-                data = np.array(batch.column("embedding").to_pylist(), dtype=np.float64)
-                for at in range(0, len(own), 2048):
-                    part, names = data[at : at + 2048], own[at : at + 2048]
-                    scores = np.round(_scores(matrix, part, function, normalized), 6) + 0.0
-                    best = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
-                    q = np.repeat(ids, best.shape[1])
-                    yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(names[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", "vec_id", "score"])
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, GROUP):
+                part = batch.slice(at, GROUP)
+                yield pa.RecordBatch.from_pylist([{"vi": part.column("id").to_pylist(), "ve": part.column("e").to_pylist()}], schema=_GROUP)
 
-        found = base.mapInArrow(run, "query_id long, vec_id long, score double")
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, score double, rank int")
+    groups = spread(vectors.where("embedding is not null").select("id", F.col("embedding").cast("array<double>").alias("e"))).mapInArrow(pack, "vi array<long>, ve array<array<double>>")
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids, names = np.array(row["qi"]), np.array(row["vi"])
+                scores = np.round(_scores(np.array(row["qe"]), np.array(row["ve"]), function, normalized), 6) + 0.0
+                best = np.lexsort((np.broadcast_to(names, scores.shape), -scores), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(names[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query_id", "vec_id", "score"])
+
+    found = groups.crossJoin(blocks).mapInArrow(meet, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _scores(q: np.ndarray, v: np.ndarray, function: str, normalized: bool) -> np.ndarray:

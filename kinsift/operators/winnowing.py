@@ -111,14 +111,28 @@ def best_members(members: DataFrame, similar: DataFrame, n: int) -> DataFrame:
     return both.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "similarity")
 
 
-def shared_counts(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(left_id, right_id, similarity) of every pair of sets (id, fps) of two tables that share a value: the
-    inverted-index join, counting common values. Pairs that share none have similarity 0 and don't come out,
-    but two empty sets, which are 1."""
-    l = left.select(F.col("id").alias("left_id"), F.size("fps").alias("ln"), F.explode("fps").alias("v"))
-    r = right.select(F.col("id").alias("right_id"), F.size("fps").alias("rn"), F.explode("fps").alias("v"))
-    both = l.join(r, "v").groupBy("left_id", "right_id", "ln", "rn").agg(F.count("*").alias("c"))
-    met = both.select("left_id", "right_id", (F.col("c") / (F.col("ln") + F.col("rn") - F.col("c"))).alias("similarity"))
+def shared_counts(left: DataFrame, right: DataFrame, longest_list: int = 2000) -> DataFrame:
+    """(left_id, right_id, similarity) of every pair of sets (id, fps) of two tables that share a value. Pairs that
+    share none have similarity 0 and don't come out, but two empty sets, which are 1.
+
+    An inverted index: common values are counted where the lists of a value meet. Equal sets are one entry first, so
+    copies don't lengthen lists. A value with a list above longest_list is dealt out: each side's entry goes to a part
+    by its hash, that of the right to all parts of the left, so that no task forms the product of two long lists."""
+    sides = []
+    for df in (left, right):
+        sig = df.select("id", "fps", F.sha2(F.array_join("fps", ""), 256).alias("sig"))
+        named = cut(sig)
+        sides.append((named.select("id", "sig"), cut(named.where(F.size("fps") > 0).groupBy("sig").agg(F.first("fps").alias("fps")))))
+    (lm, ls), (rm, rs) = sides
+    l = ls.select(F.col("sig").alias("ls"), F.size("fps").alias("ln"), F.explode("fps").alias("v"))
+    r = rs.select(F.col("sig").alias("rs"), F.size("fps").alias("rn"), F.explode("fps").alias("v"))
+    parts = l.groupBy("v").agg(F.ceil(F.count("*") / longest_list).cast("int").alias("parts")).where("parts > 1")
+    parts = cut(parts)  # a row for longest_list entries at least
+    l = l.join(parts, "v", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("ls"), F.col("parts"))).otherwise(0)).drop("parts")
+    r = r.join(parts, "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
+    both = l.join(r, ["v", "part"]).groupBy("ls", "rs", "ln", "rn").agg(F.count("*").alias("c"))
+    scored = both.select("ls", "rs", (F.col("c") / (F.col("ln") + F.col("rn") - F.col("c"))).alias("similarity"))
+    met = scored.join(lm.toDF("left_id", "ls"), "ls").join(rm.toDF("right_id", "rs"), "rs").select("left_id", "right_id", "similarity")
     empty = left.where(F.size("fps") == 0).select(F.col("id").alias("left_id")).join(right.where(F.size("fps") == 0).select(F.col("id").alias("right_id")), F.lit(True))
     return met.unionByName(empty.withColumn("similarity", F.lit(1.0)))
 

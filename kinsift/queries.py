@@ -169,11 +169,11 @@ def _fps_sql(t: str) -> str:
       from (select {grams} as h)) end"""
 
 
-_DOC_FPS = f"select doc_id, {_fps_sql('t')} as fps from (select doc_id, {_CODE_SQL.replace('{0}', 'text')} as t from documents)"
+_DOC_FPS = f"select doc_id, {_fps_sql('t')} as fps from (select file_id as doc_id, {_CODE_SQL.replace('{0}', 'text')} as t from files)"
 
 
 def _doc_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", winnowing.fingerprints(tokens.code_tokens("text"), K, W).alias("fps"))
+    return spread(table(spark, sf_dir, "files").select(F.col("file_id").alias("doc_id"), "text")).select("doc_id", winnowing.fingerprints(tokens.code_tokens("text"), K, W).alias("fps"))
 
 
 @_query(f"select doc_id, len(fps) as n, array_to_string(fps, '') as fps from ({_DOC_FPS})")
@@ -202,7 +202,7 @@ def winnowing_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"select left_id, right_id, round(similarity, 6) as similarity from ({_CLASS_PAIRS}) where similarity >= 0.5 - 1e-12 order by round(similarity, 6) desc, left_id, right_id limit 10")
 def winnowing_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten most similar pairs of document classes."""
+    """The ten most similar pairs of classes of files."""
     reps = winnowing.classes(_doc_fps(spark, sf_dir), "doc_id", "fps")[1]
     return winnowing.best_pairs(winnowing.most_similar(reps, 10).withColumn("similarity", F.round("similarity", 6)), 10)
 
@@ -274,9 +274,22 @@ _chunk_query("max", "list_max(list_transform(m, lambda v: v[d]))")
 _chunk_query("first", "m[1][d]")
 
 
-@_query()
+_HEX = "0123456789ABCDEF"
+_CRC_TABLE = """with recursive r as (select i::bigint as i, 0 as k, i::bigint as v from range(256) t(i) union all
+    select i, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from r where k < 8),
+  tab as materialized (select list(v order by i) as tab from r where k = 8)"""
+_CRC = f"""{_CRC_TABLE},
+  tok as materialized (select doc_id, unnest(list_transform({_CODE_SQL.replace('{0}', 'text')}, lambda x: lower(x))) as t from documents),
+  word as materialized (select t, hex(encode(t)) as h from (select distinct t from tok)),
+  bytes as (select t, list_transform(range(0, length(h) // 2), lambda i: (strpos('{_HEX}', substr(h, i * 2 + 1, 1)) - 1) * 16 + strpos('{_HEX}', substr(h, i * 2 + 2, 1)) - 1) as b from word),
+  crc as materialized (select t, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(b, lambda x: x::bigint)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) % 64 as dim from bytes, tab),
+  n as (select doc_id, dim, count(*) as c from tok join crc using (t) group by all)
+  select doc_id, dim, round(c / sqrt(sum(c * c) over (partition by doc_id)), 9) as value from n"""
+
+
+@_query(_CRC)
 def static_hash_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(vectors.hash_vector("text", 64)).alias("dim", "value")).where("value > 0")
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(vectors.hash_vector("text", 64)).alias("dim", "value")).where("value > 0").withColumn("value", F.round("value", 9))
 
 
 # ---------------------------------------------------------------- labelled pairs
@@ -415,11 +428,14 @@ def relevance_coercion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- retrieval
 _FILE_FPS = f"select id, {_fps_sql('t')} as fps from (select {ref_id_sql('file_id')} as id, {_CODE_SQL.replace('{0}', 'text')} as t from files where text is not null)"
+_FILE_RAW = f"select id, {_fps_sql('t')} as fps from (select file_id as id, {_CODE_SQL.replace('{0}', 'text')} as t from files where text is not null)"
 _RESULTS = f"""
   with f as materialized ({_FILE_FPS}),
-  q as (select {ref_id_sql("query_id")} as query_id, len(fps) as n, unnest(fps) as v from queries join f on f.id = {ref_id_sql("file_id")}),
-  d as (select {ref_id_sql("document_id")} as document_id, len(fps) as n, unnest(fps) as v from corpus join f on f.id = {ref_id_sql("file_id")})
-  select query_id, document_id, round(count(*) / (q.n + d.n - count(*)), 6) as similarity_score from q join d using (v) group by query_id, document_id, q.n, d.n"""
+  qs as materialized (select {ref_id_sql("query_id")} as query_id, fps from queries join f on f.id = {ref_id_sql("file_id")}),
+  ds as materialized (select {ref_id_sql("document_id")} as document_id, fps from corpus join f on f.id = {ref_id_sql("file_id")}),
+  met as (select query_id, document_id, count(*) as c from (select query_id, unnest(fps) as v from qs) join (select document_id, unnest(fps) as v from ds) using (v) group by all)
+  select q.query_id, d.document_id, round(case when len(q.fps) = 0 and len(d.fps) = 0 then 1.0 else coalesce(c, 0) / (len(q.fps) + len(d.fps) - coalesce(c, 0)) end, 6) as similarity_score
+  from qs q cross join ds d left join met on met.query_id = q.query_id and met.document_id = d.document_id"""
 
 
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -621,12 +637,22 @@ def metric_summary_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(resample.metric_summary(rows, ["accuracy", "f1"]), *_SUMMARY)
 
 
-@_query()
+_PAIRED = f"""with a as ({_by_dataset(0.5)}), b as ({_by_dataset(0.3)}), p as (select a.accuracy as x, b.accuracy as y, b.accuracy - a.accuracy as d from a join b using (dataset_name)),
+  c as (select count(*) as count, avg(x) as baseline_mean, avg(y) as candidate_mean, avg(d) as mean_difference, quantile_cont(d, 0.5) as median_difference, quantile_cont(d, 0.025) as ci_lower, quantile_cont(d, 0.975) as ci_upper,
+    count_if(d > 0) as win_count, count_if(d < 0) as loss_count, count_if(d = 0) as tie_count from p)
+  select *, coalesce(win_count / nullif(win_count + loss_count, 0), 0) as improvement_rate,
+    case when win_count + loss_count = 0 then 1.0 else least(1.0, 2 * list_sum(list_transform(range(0, cast(least(win_count, loss_count) + 1 as bigint)),
+      lambda k: factorial(cast(win_count + loss_count as int)) / (factorial(cast(k as int)) * factorial(cast(win_count + loss_count - k as int))))) / pow(2, win_count + loss_count)) end as sign_test_p_value,
+    case when ci_lower > 0 then 'candidate_better' when ci_upper < 0 then 'baseline_better' else 'inconclusive' end as conclusion from c"""
+_PAIRED_COLUMNS = ("baseline_mean", "candidate_mean", "mean_difference", "median_difference", "ci_lower", "ci_upper", "improvement_rate", "sign_test_p_value")
+
+
+@_query(f"select * replace ({', '.join(f'round({c}, 6) as {c}' for c in _PAIRED_COLUMNS)}) from ({_PAIRED})")
 def paired_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy by data set at two thresholds, as paired samples."""
     scored = cut(_scored(spark, sf_dir))
-    a, b = (classify.confusion(scored, t, by=["dataset_name"]).select("dataset_name", F.col("accuracy").alias(n)) for t, n in ((0.5, "at_50"), (0.3, "at_30")))
-    return resample.compare_samples(a.join(b, "dataset_name"), "at_50", "at_30")
+    a, b = (_round(classify.confusion(scored, t, by=["dataset_name"]), "accuracy").select("dataset_name", F.col("accuracy").alias(n)) for t, n in ((0.5, "at_50"), (0.3, "at_30")))
+    return _round(resample.compare_samples(a.join(b, "dataset_name"), "at_50", "at_30"), *_PAIRED_COLUMNS)
 
 
 @_query()
@@ -636,6 +662,30 @@ def bootstrap_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(classify.confusion(scored, 0.5, by=["split"]), *_FOUR)
 
 
+def _retrieval_folds() -> str:
+    parts = f"{_PER_QUERY}, named as (select query_id, ntile(5) over (order by query_id) as fold from (select distinct query_id from res))"
+    return f"""{parts} select 'fold_' || fold as split, count(*) as query_count, sum(results) as result_count, sum(relevant) as relevant_count, round(avg(average_precision), 6) as map,
+      round(avg(reciprocal_rank), 6) as mrr, {", ".join(f"round(avg({c}), 6) as {c}" for c in _FIVE[2:])} from q join named using (query_id) group by 1"""
+
+
+@_query(_retrieval_folds())
+def retrieval_resamples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranking metrics on five unshuffled folds of the queries."""
+    results = cut(_results(spark, sf_dir))
+    n = results.select("query_id").distinct().count()
+    splits = resample.as_table(spark, resample.kfold_splits(n, 5, shuffle=False))
+    return _round(resample.evaluate_retrieval_resamples(results, _qrels(spark, sf_dir), splits), "map", "mrr", *_FIVE[2:])
+
+
+@_query(f"""{_SWEEP}, best as (select threshold, round(f1, 6) as f1 from (select *, {_RATIOS} from at_) order by f1 desc, precision desc, recall desc, accuracy desc, threshold desc limit 1),
+  ranks as (select label, rank() over (order by score) as lo, count(*) over (partition by score) as same from s),
+  area as (select round((sum(case when label = 1 then lo + (same - 1) / 2 end) - count_if(label = 1) * (count_if(label = 1) + 1) / 2) / (count_if(label = 1) * count_if(label = 0)), 6) as auroc from ranks)
+  select (select count(*) from s) as pair_count, round(threshold, 9) as threshold, f1, auroc, (select count(*) from marks) as candidate_count from best, area""")
+def calibration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = classify.calibration_report(classify.checked(_scored(spark, sf_dir)))
+    return _key(_round(report["summary"], "f1", "auroc")).select("pair_count", "threshold", "f1", "auroc", "candidate_count")
+
+
 # ---------------------------------------------------------------- leaderboards
 _THRESHOLDS = (0.3, 0.5, 0.7)
 _BOARD = " union all ".join(
@@ -728,6 +778,28 @@ def adapter_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.adapt_pairs(table(spark, sf_dir, "pairs"), order=["dataset_name", "row_index"])[0].select("file_id", "text")
 
 
+_JUDGED = f"""with rows as (select *, row_number() over (order by dataset_name, row_index) - 1 as pos, {relevance_sql('cast(label as varchar)')} as y from pairs),
+  good as (select *, {ref_id_sql("left_id")} as qi, {ref_id_sql("right_id")} as di from rows where y is not null),
+  side as (select pos, 0 as side, qi as id, left_text as text from good union all select pos, 1, di, right_text from good),
+  keyed as (select *, case when id is not null then 'id' || side when text is not null then 'text' end as kind, coalesce(id, text) as value from side),
+  f as (select kind, value, arg_min(case when side = 0 then 'query' else 'document' end, pos * 2 + side) || '_' || substr(sha1(value), 1, 16) as file_id from keyed where kind is not null group by 1, 2),
+  named as (select k.pos, k.side, k.id, f.file_id from keyed k join f using (kind, value)),
+  typed as (select g.pos, y, coalesce(q.id, 'query_' || substr(sha1(q.file_id), 1, 16)) as query_id, q.file_id as qf, coalesce(d.id, 'document_' || substr(sha1(d.file_id), 1, 16)) as document_id, d.file_id as df
+    from good g join (select * from named where side = 0) q using (pos) join (select * from named where side = 1) d using (pos))"""
+
+
+def _judged_pairs(part: str, sql: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return datasets.adapt_retrieval(table(spark, sf_dir, "pairs"), order=["dataset_name", "row_index"])[part]
+
+    QUERIES[f"adapter_retrieval_{part}"] = (run, f"{_JUDGED} {sql}")
+
+
+_judged_pairs("queries", "select query_id, arg_min(qf, pos) as file_id from typed group by 1")
+_judged_pairs("corpus", "select document_id, arg_min(df, pos) as file_id from typed group by 1")
+_judged_pairs("qrels", "select query_id, document_id, max(y) as relevance from typed group by 1, 2")
+
+
 @_query(f"""select query_id, document_id, max(relevance) as relevance from (select {ref_id_sql("query_id")} as query_id, {ref_id_sql("document_id")} as document_id, {relevance_sql("cast(relevance as varchar)")} as relevance from qrels)
   where query_id is not null and document_id is not null and relevance is not null group by all""")
 def adapter_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -791,17 +863,36 @@ def validation_issues_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- whole runs
-@_query()
+_NORMAL = f"trim({_unblank(_trimmed('text'))}, {_WHITE_SQL})"
+_FILE_GRAMS = " union all ".join(f"select id, {n} as n, unnest({_grams_sql('t', n, _UNIT)}) as g from f" for n in range(1, 5))
+_EVALUATED = f"""
+  with f as materialized (select id, t, {_fps_sql('t')} as fps from (select {ref_id_sql("file_id")} as id, {_CODE_SQL.replace('{0}', '(' + _NORMAL + ')')} as t from files)),
+  g as materialized (select id, n, g, count(*) as c from ({_FILE_GRAMS}) group by all),
+  tot as (select id, n, sum(c) as c from g group by all),
+  p as (select row_number() over () as k, dataset_name, {ref_id_sql("left_id")} as l, {ref_id_sql("right_id")} as r, label from pairs where label in (0, 1)),
+  pj as materialized (select p.*, a.fps as af, b.fps as bf, len(a.t) as la, len(b.t) as lb from p join f a on a.id = p.l join f b on b.id = p.r),
+  both_ as (select k, a.n, sum(least(a.c, b.c)) as c from pj join g a on a.id = pj.l join g b on b.id = pj.r and b.n = a.n and b.g = a.g group by all),
+  x as (select k, n.n, coalesce(ta.c, 0) + coalesce(tb.c, 0) as whole from pj cross join (select unnest([1, 2, 3, 4]) as n) n left join tot ta on ta.id = pj.l and ta.n = n.n left join tot tb on tb.id = pj.r and tb.n = n.n),
+  ruby as (select x.k, avg(2 * coalesce(both_.c, 0) / x.whole) as v from x left join both_ on both_.k = x.k and both_.n = x.n where x.whole > 0 group by 1)
+  select dataset_name, label, round((2 * (case when len(af) = 0 and len(bf) = 0 then 1.0 else len(list_intersect(af, bf)) / (len(af) + len(bf) - len(list_intersect(af, bf))) end)
+    + case when la = 0 and lb = 0 then 1.0 when la = 0 or lb = 0 then 0.0 else v end) / 3, 6) as score from pj left join ruby using (k)"""
+
+
+@_query(_confusion_sql("dataset_name", 0.5, _EVALUATED))
 def evaluate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled pairs scored by several features at once and measured by data set."""
+    """Labelled pairs scored by two features at once and measured by data set."""
     files = table(spark, sf_dir, "files").select(ref_id("file_id").alias("file_id"), "text")
     pairs = table(spark, sf_dir, "pairs").where("label in (0, 1)").select("dataset_name", ref_id("left_id").alias("left_id"), ref_id("right_id").alias("right_id"), "label")
-    o = compare.Options(feature_weights="winnowing=2,semantic=1,code_metric=1", code_metric="ruby", ruby_mode="ngram", preprocess_mode="normalize")
+    o = compare.Options(feature_weights="winnowing=2,code_metric=1", code_metric="ruby", ruby_mode="ngram", preprocess_mode="normalize")
     scored = compare.score_pairs(files, pairs, o).withColumn("score", F.round("similarity_score", 6))
     return _round(classify.confusion(scored, 0.5, by=["dataset_name"]), *_FOUR)
 
 
-@_query()
+@_query(f"""with f as materialized ({_FILE_RAW}),
+  met as (select l, r, count(*) as c from (select id as l, unnest(fps) as v from f) join (select id as r, unnest(fps) as v from f) using (v) where l < r group by all),
+  scored as (select a.id as l, b.id as r, case when len(a.fps) = 0 and len(b.fps) = 0 then 1.0 else coalesce(c, 0) / (len(a.fps) + len(b.fps) - coalesce(c, 0)) end as s
+    from f a join f b on a.id < b.id left join met on met.l = a.id and met.r = b.id)
+  select l as file_name_1, r as file_name_2, round(s, 4) as similarity_score from scored where s >= 0.5 order by s desc, l desc, r desc limit 10""")
 def compare_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = table(spark, sf_dir, "files").where("text is not null").select(F.col("file_id").alias("file_name"), F.col("text").alias("code"))
     return compare.compare_collection(files, compare.Options(feature_weights={"winnowing": 1.0}), threshold=0.5, number_results=10)
