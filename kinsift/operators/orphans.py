@@ -107,12 +107,12 @@ def find_orphans(refs: DataFrame, parent_rows: DataFrame) -> DataFrame:
     ranges = max(1, -(-total // KEYS_PER_RANGE), min(width, total // LEAST_KEYS))
     arrays = cut(parent_rows.repartitionByRange(ranges, "target", "key").mapInArrow(_arrays, _ARRAY))
     # An entry a range and target: their number grows by one for KEYS_PER_RANGE keys. Strings sort as their UTF-8 does.
-    lows = sorted(r.target + "\0" + r.low for r in arrays.select("target", "low").collect())
-    heads = [x.partition("\0")[0] for x in lows]
+    lows = sorted(r.target + "\x1f" + r.low for r in arrays.select("target", "low").collect())
+    heads = [x.partition("\x1f")[0] for x in lows]
 
     @F.pandas_udf("int")
     def range_of(target: pd.Series, key: pd.Series) -> pd.Series:
-        at = np.searchsorted(np.array(lows, dtype=object), (target + "\0" + key).to_numpy(dtype=object), side="right") - 1
+        at = np.searchsorted(np.array(lows, dtype=object), (target + "\x1f" + key).to_numpy(dtype=object), side="right") - 1
         own = np.array([*heads, ""], dtype=object)[at]
         return pd.Series(np.where((at >= 0) & (own == target.to_numpy(dtype=object)), at, -1), dtype="int32")
 

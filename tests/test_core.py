@@ -63,6 +63,14 @@ def test_orphans_over_many_ranges(spark, monkeypatch):
     refs = spark.range(0, 120).selectExpr("concat('k', id) as fk", "timestamp '2021-01-01' as at")
     got = {r.ref_id for r in find_orphans(references(refs, "t", "fk", "at", "p"), parents(known, "id", "b", "g", "p")).collect()}
     assert got == {f"k{i}" for i in range(120) if i % 2 or i >= 100}
+    # Targets whose names begin alike, each with its own keys, few and many references a range.
+    other = known.selectExpr("concat('k', cast(substr(id, 2) as int) + 1) as id", "b", "g")
+    both = parents(known, "id", "b", "g", "p").unionByName(parents(other, "id", "b", "g", "pp"))
+    for least in (3, 1000):
+        monkeypatch.setattr(orphans, "LEAST_KEYS", least)
+        two = references(refs.withColumnRenamed("fk", "one"), "t", "one", "at", "p").unionByName(references(refs, "t", "fk", "at", "pp"))
+        got = {(r.field_name, r.ref_id) for r in find_orphans(two, both).collect()}
+        assert got == {("one", f"k{i}") for i in range(120) if i % 2 or i >= 100} | {("fk", f"k{i}") for i in range(120) if not i % 2 or i > 100}
 
 
 # ---------------------------------------------------------------- plans
