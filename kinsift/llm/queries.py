@@ -221,7 +221,11 @@ QUERIES = {
     "p8_found": (p8_found, f"select doc_id from documents where {token_count_sql('text')} > {CAPACITY}"),
     "p8_containers": (p8_containers, None),
     "p8_check": (p8_check, f"select sum({token_count_sql('text')}) as tokens, 0 as lost, 0 as overfull, 0 as divided, 0 as beyond_least from documents"),
-    "p8_summary": (p8_summary, None),
+    "p8_summary": (
+        p8_summary,
+        f"""select t as tokens, ceil(t / {CAPACITY})::bigint as containers, ceil(t / {CAPACITY})::bigint as least, round(1 - t / (ceil(t / {CAPACITY}) * {CAPACITY}), 6) as unused
+          from (select sum({token_count_sql('text')}) as t from documents)""",
+    ),
     "p9_found": (p9_found, _P9),
     "p9_mix": (p9_mix, None),
     "p9_check": (p9_check, _P9_GOALS),
