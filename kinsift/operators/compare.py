@@ -122,6 +122,27 @@ def score(o: Options, trivial: DataFrame | None = None) -> Column:
     return weights.blend(o.weights, columns)
 
 
+def highest_score(o: Options) -> Column:
+    """What the score of two documents can't exceed, by their sizes alone: columns l_ and r_ with chars, n_tok, n_fps.
+    Features of which sizes say nothing count as 1 (raw distances are at most 0)."""
+    share = lambda c: F.when(F.greatest(f"l_{c}", f"r_{c}") == 0, 1.0).otherwise(F.least(f"l_{c}", f"r_{c}") / F.greatest(f"l_{c}", f"r_{c}"))
+    out: Column = F.lit(0.0)
+    for name, weight in o.weights.items():
+        if name == "levenshtein" and tuple(o.edit_weights) == (1, 1, 1):
+            most = share("chars")
+        elif name == "winnowing":
+            most = share("n_fps")
+        elif name == "gst":
+            both = F.col("l_n_tok") + F.col("r_n_tok")
+            most = F.when(both == 0, 1.0).otherwise(2 * F.least("l_n_tok", "r_n_tok") / both)
+        elif name in o.extra or (name == "semantic" and o.similarity_function == "dot" and not o.normalize_semantic):
+            most = F.lit(float("inf"))
+        else:
+            most = F.lit(1.0)
+        out = out + weight * most if weight > 0 else out
+    return out
+
+
 def _side(features: DataFrame, prefix: str) -> DataFrame:
     return features.select(*[F.col(c).alias(f"{prefix}_{c}") for c in features.columns])
 
@@ -132,7 +153,8 @@ def compare_collection(files: DataFrame, options: Options | None = None, thresho
 
     Where winnowing is the only feature and the threshold is above 0, pairs come from the prefix-filtered join of
     classes, and members are paired as far as the best need them; the result is that of all pairs. Otherwise every
-    pair is asked for by definition: pairs are formed from ids, features joined, and only the best kept."""
+    pair is asked for by definition. With a threshold above 0, pairs are formed from ids and sizes, those whose sizes
+    already rule the threshold out are left, and features are joined to the rest; only the best are kept."""
     o = options or Options()
     if number_results < 1:
         raise ValueError("number_results must be at least 1")
@@ -141,8 +163,14 @@ def compare_collection(files: DataFrame, options: Options | None = None, thresho
         members, reps = winnowing.classes(features, "id", "fps")
         scored = winnowing.best_members(members, winnowing.similar_classes(reps, threshold), number_results).withColumnRenamed("similarity", "s")
     else:
+        # A corpus's frequent n-grams are counted before pairs are formed.
         trivial = code_metrics.trivial_ngrams(features, "id", "tok", o.metric_order, o.trivial_ngrams) if o.active("code_metric") and o.code_metric == "crystalbleu" else None
-        both = _side(features, "l").join(_side(features, "r"), F.col("l_id") < F.col("r_id"))
+        if threshold > 0:
+            sizes = features.select("id", F.length("code").alias("chars"), *[F.size(c).alias(f"n_{c}") for c in ("tok", "fps") if c in features.columns])
+            near = _side(sizes, "l").join(_side(sizes, "r"), (F.col("l_id") < F.col("r_id")) & (highest_score(o) >= threshold - 1e-9)).select("l_id", "r_id")
+            both = near.join(_side(features, "l"), "l_id").join(_side(features, "r"), "r_id")
+        else:
+            both = _side(features, "l").join(_side(features, "r"), F.col("l_id") < F.col("r_id"))
         scored = both.select(F.col("l_id").alias("left_id"), F.col("r_id").alias("right_id"), score(o, trivial).alias("s"))
     best = scored.where(F.col("s") >= threshold).orderBy(F.desc("s"), F.desc("left_id"), F.desc("right_id")).limit(number_results)
     return best.select(F.col("left_id").alias("file_name_1"), F.col("right_id").alias("file_name_2"), F.round("s", 4).alias("similarity_score"))

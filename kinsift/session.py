@@ -36,7 +36,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir of the session.
 
-    Only a local master may do without the setting; it then gets a temporary folder of its own."""
+    Only a local master may do without the setting; it then gets a temporary folder of its own. Tables that loops
+    don't drop stay until clean() or the end of the programme."""
     app = spark.sparkContext.applicationId
     if app not in _SCRATCH:
         base = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,6 +48,7 @@ def scratch_dir(spark: SparkSession) -> str:
             atexit.register(shutil.rmtree, base, True)
             base = f"file://{base}"
         _SCRATCH[app] = f"{base.rstrip('/')}/kinsift-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _SCRATCH[app])
     return _SCRATCH[app]
 
 
@@ -76,6 +78,24 @@ def drop(df: DataFrame) -> None:
     """Removes a table made by cut() that no later plan reads."""
     path = getattr(df, "_kinsift_path", None)
     if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def clean(spark: SparkSession) -> None:
+    """Removes all tables of the session's scratch folder; results that aren't written yet can't be read then."""
+    path = _SCRATCH.pop(spark.sparkContext.applicationId, None)
+    if path:
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    """At the end of the programme; a session that is stopped by then leaves its folder to the cluster."""
+    try:
+        _delete(spark, path)
+    except Exception:  # noqa: BLE001
+        pass

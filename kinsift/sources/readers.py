@@ -101,6 +101,12 @@ def extract_archive(path: str, destination: str) -> None:
         archive.extractall(destination, filter="data")
 
 
+def extract_zip(path: str, destination: str) -> None:
+    if not zipfile.is_zipfile(path):
+        raise ValueError(f"no zip archive: {path}")
+    extract_archive(path, destination)
+
+
 def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """csv, tsv, tab, jsonl, json or parquet by suffix. Without a schema all csv columns are strings: ids keep
     their zeros, nothing is inferred."""

@@ -382,3 +382,24 @@ def test_comment_removal_and_rounding(spark):
     assert text.remove_comments_text("a # b\n'#' c", "ruby") == "a \n'#' c" and text.remove_comments_text("def (", "python") == "def ("
     df = spark.createDataFrame([(0.03125,), (0.00005,), (None,)], "x double")
     assert [r[0] for r in df.select(strings.py_round("x")).collect()] == [0.0312, 0.0001, None]
+
+
+def test_sizes_rule_out_no_pair(spark):
+    files = spark.createDataFrame([(f"f{i}", "a b c d " * (i % 4) + "x" * i) for i in range(14)], "file_name string, code string")
+    for w in ({"levenshtein": 1}, {"levenshtein": 2, "gst": 1, "winnowing": 1}, {"jaro_winkler": 1, "levenshtein": 1}):
+        o = compare.Options(feature_weights=w)
+        whole = [tuple(r) for r in compare.compare_collection(files, o, 0.0, 500).collect()]
+        assert [tuple(r) for r in compare.compare_collection(files, o, 0.6, 500).collect()] == [r for r in whole if r[2] >= 0.6]
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from kinsift import session
+
+    df = session.cut(spark.range(3))
+    root = session._SCRATCH[spark.sparkContext.applicationId]
+    assert os.path.isdir(root.replace("file://", "")) and df.count() == 3
+    session.clean(spark)
+    assert not os.path.isdir(root.replace("file://", ""))
+    assert session.cut(spark.range(3)).count() == 3
