@@ -516,7 +516,7 @@ _TRIVIAL = " union all ".join(
 
 
 def _trivial(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "files").select("file_id", tokens.code_tokens("text").alias("t"))
+    docs = spread(table(spark, sf_dir, "files").select("file_id", "text")).select("file_id", tokens.code_tokens("text").alias("t"))
     return code_metrics.trivial_ngrams(docs, "file_id", "t", 4, 50)
 
 
