@@ -118,3 +118,45 @@ def test_leaks_equal_brute_force(spark):
     assert want
     assert {tuple(r) for r in leaking_entities(df, pair_components(pair_entities(pairs, files))).collect()} == want
     assert leaking_entities(df.limit(0), pair_components(pair_entities(pairs.limit(0), files.limit(0)))).count() == 0
+
+
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_where_stripping_ends_changes_nothing(spark, monkeypatch, share):
+    """All by stripping and the core, or all by the core solver."""
+    from kinsift.llm import groups
+
+    monkeypatch.setattr(groups, "LEAST_SHARE", share)
+    edges = [(a, b) for a, b in _graphs()["all"] if a != b]
+    df = undirected(spark.createDataFrame(edges, "l string, r string"), "l", "r")
+    assert {r.node: r.group_id for r in group_matches(df).collect()} == _roots(edges)
+
+
+def test_roles_follow_the_hash_order_alone(spark):
+    """A component of most rows may have any role; the others still line up by hash, and no entity is divided."""
+    from kinsift.llm.splits import check_roles
+
+    rows = [("d", i, "big", f"b{i}") for i in range(60)] + [("d", 60 + i, f"x{i}", f"y{i}") for i in range(60)] + [("e", i, None, None) for i in range(10)] + [(None, 0, "a", "b")]
+    entities = spark.createDataFrame(rows, "dataset_name string, row_index long, left string, right string")
+    roles = assign_roles(pair_components(entities), (0.5, 0.25, 0.25))
+    got = {(r.dataset_name, r.row_index): r.role for r in roles.collect()}
+    assert len(got) == len(rows) and len({got["d", i] for i in range(60)}) == 1
+    report = {r.dataset_name: (r.pairs, r.divided, r.off) for r in check_roles(roles, entities, (0.5, 0.25, 0.25)).collect()}
+    assert report["d"] == (120, 0, 0) and report["e"] == (10, 0, 0)
+    import pyspark.sql.functions as F
+
+    broken = roles.withColumn("role", F.when(F.col("row_index") == 3, "test").when(F.col("row_index") == 4, "train").otherwise(F.col("role")))
+    assert {r.dataset_name: r.divided for r in check_roles(broken, entities).collect()}["d"] >= 1
+
+
+def test_shortfalls_are_counted_from_the_draw(spark):
+    from kinsift.llm.mixing import check_mix, draw_mix, reached_shares
+
+    records = spark.createDataFrame([(i, "a" if i < 40 else "B ", 10, 1.0) for i in range(50)], "id long, source string, tokens long, weight double")
+    targets = spark.createDataFrame([("a", 50, 2), ("b", 40, 1), ("none", 10, 3)], "source string, target_pct int, max_repeats int")
+    draws, plan = draw_mix(records, targets, "id")
+    rows = {r.source: r for r in reached_shares(draws, plan).collect()}
+    assert {s: r.short for s, r in rows.items()} == {"a": False, "b": True, "none": True}
+    assert rows["b"].drawn == 100 and rows["a"].drawn == 250 and rows["a"].largest_mix == 250
+    assert all((r.over, r.far, r.beyond) == (0, 0, 0) for r in check_mix(draws, plan).collect())
+    assert {r.source: r.short for r in reached_shares(draws.where("source <> 'b'"), plan).collect()}["b"] is False
+    assert {r.source: r.far for r in check_mix(draws.where("source <> 'a'"), plan).collect()}["a"] == 1
