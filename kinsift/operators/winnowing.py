@@ -120,18 +120,18 @@ def shared_counts(left: DataFrame, right: DataFrame, longest_list: int = 2000) -
     by its hash, that of the right to all parts of the left, so that no task forms the product of two long lists."""
     sides = []
     for df in (left, right):
-        sig = df.select("id", "fps", F.sha2(F.array_join("fps", ""), 256).alias("sig"))
-        named = cut(sig)
-        sides.append((named.select("id", "sig"), cut(named.where(F.size("fps") > 0).groupBy("sig").agg(F.first("fps").alias("fps")))))
+        named = cut(df.select("id", "fps", F.sha2(F.array_join("fps", ""), 256).alias("sig")))
+        sets = cut(named.where(F.size("fps") > 0).groupBy("sig").agg(F.first("fps").alias("fps")).withColumn("n", F.monotonically_increasing_id()))
+        sides.append((cut(named.select("id", "sig").join(sets.select("sig", "n"), "sig").select("id", "n")), sets))  # numbers make short keys
     (lm, ls), (rm, rs) = sides
-    l = ls.select(F.col("sig").alias("ls"), F.size("fps").alias("ln"), F.explode("fps").alias("v"))
-    r = rs.select(F.col("sig").alias("rs"), F.size("fps").alias("rn"), F.explode("fps").alias("v"))
-    parts = l.groupBy("v").agg(F.ceil(F.count("*") / longest_list).cast("int").alias("parts")).where("parts > 1")
-    parts = cut(parts)  # a row for longest_list entries at least
+    l = ls.select(F.col("n").alias("ls"), F.explode("fps").alias("v"))
+    r = rs.select(F.col("n").alias("rs"), F.explode("fps").alias("v"))
+    parts = cut(l.groupBy("v").agg(F.ceil(F.count("*") / longest_list).cast("int").alias("parts")).where("parts > 1"))  # a row for longest_list entries at least
     l = l.join(parts, "v", "left").withColumn("part", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("ls"), F.col("parts"))).otherwise(0)).drop("parts")
     r = r.join(parts, "v", "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
-    both = l.join(r, ["v", "part"]).groupBy("ls", "rs", "ln", "rn").agg(F.count("*").alias("c"))
-    scored = both.select("ls", "rs", (F.col("c") / (F.col("ln") + F.col("rn") - F.col("c"))).alias("similarity"))
+    both = l.select("ls", "v", "part").join(r.select("rs", "v", "part"), ["v", "part"]).groupBy("ls", "rs").agg(F.count("*").alias("c"))
+    sized = both.join(ls.select(F.col("n").alias("ls"), F.size("fps").alias("ln")), "ls").join(rs.select(F.col("n").alias("rs"), F.size("fps").alias("rn")), "rs")
+    scored = sized.select("ls", "rs", (F.col("c") / (F.col("ln") + F.col("rn") - F.col("c"))).alias("similarity"))
     met = scored.join(lm.toDF("left_id", "ls"), "ls").join(rm.toDF("right_id", "rs"), "rs").select("left_id", "right_id", "similarity")
     empty = left.where(F.size("fps") == 0).select(F.col("id").alias("left_id")).join(right.where(F.size("fps") == 0).select(F.col("id").alias("right_id")), F.lit(True))
     return met.unionByName(empty.withColumn("similarity", F.lit(1.0)))
