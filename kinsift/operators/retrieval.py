@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kinsift.operators import set_blocks
 from kinsift.plans.skew import numbered
 
 
@@ -66,6 +67,23 @@ def query_metrics(results: DataFrame, qrels: DataFrame, k: int = 10, score: str
     if k < 1:
         raise ValueError("k must be at least 1")
     rows = ranked(with_relevance(results, qrels), score) if over is None else whole_ranks(results, qrels, *over, score)
+    return _by_query(rows, qrels, k, over and _totals(*over))
+
+
+def set_metrics(x: set_blocks.Index, qrels: DataFrame, k: int = 10) -> DataFrame:
+    """query_metrics() of all left ids of an index of sets against all its right ids, by similarity to 6 decimals."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    rows = set_blocks.ranks(x, judged(qrels).where("relevance > 0"))
+    return _by_query(rows, qrels, k, _totals(x.left.select(F.col("id").alias("query_id")), x.right))
+
+
+def _totals(queries: DataFrame, documents: DataFrame) -> DataFrame:
+    return queries.select("query_id").crossJoin(documents.agg(F.count("*").alias("results"))).where("results > 0")
+
+
+def _by_query(rows: DataFrame, qrels: DataFrame, k: int, totals: DataFrame | None) -> DataFrame:
+    """query_metrics() of rows (query_id, rank, relevance). totals: (query_id, results) if rows leaves results out."""
     hit = F.col("relevance") > 0
     running = Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("hits", F.sum(hit.cast("int")).over(running))
@@ -74,9 +92,8 @@ def query_metrics(results: DataFrame, qrels: DataFrame, k: int = 10, score: str
         F.count("*").alias("results"), F.sum(F.when(hit, F.col("hits") / F.col("rank"))).alias("ap"), F.min(F.when(hit, F.col("rank"))).alias("first"),
         F.sum((hit & (F.col("rank") <= k)).cast("int")).alias("top"), F.sum(F.when(hit & (F.col("rank") <= k), gain)).alias("dcg"),
     )
-    if over is not None:
-        total = over[0].select("query_id").crossJoin(over[1].agg(F.count("*").alias("results"))).where("results > 0")
-        found = total.join(found.drop("results"), "query_id", "left")
+    if totals is not None:
+        found = totals.join(found.drop("results"), "query_id", "left")
     best = Window.partitionBy("query_id").orderBy(F.desc("relevance"), "document_id")
     ideal = judged(qrels).withColumn("rank", F.row_number().over(best))
     wanted = ideal.groupBy("query_id").agg(F.sum((F.col("relevance") > 0).cast("int")).alias("relevant"), F.sum(F.when((F.col("rank") <= k) & (F.col("relevance") > 0), gain)).alias("idcg"))

@@ -11,7 +11,7 @@ from kinsift.functions import strings, text, tokens, vectors, weights
 from kinsift.functions.ids import WHITE, WHITE_CLASS, ref_id, ref_id_sql
 from kinsift.functions.labels import binary_label, binary_label_sql, relevance_sql, relevance_value
 from kinsift.functions.chunks import chunks
-from kinsift.operators import classify, code_metrics, compare, datasets, explain, leaderboard, resample, retrieval, validate, winnowing
+from kinsift.operators import classify, code_metrics, compare, datasets, explain, leaderboard, resample, retrieval, set_blocks, validate, winnowing
 from kinsift.operators.search import vector_search
 from kinsift.session import cut, spread, table
 
@@ -457,6 +457,14 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _named(winnowing.with_zeros(cut(winnowing.shared_counts(q, d)), q, d))
 
 
+def _index(spark: SparkSession, sf_dir: str) -> set_blocks.Index:
+    """The queries and the corpus documents whose file has a text, by their files' fingerprints."""
+    files = spread(table(spark, sf_dir, "files").where("text is not null").select("file_id", "text")).select(ref_id("file_id").alias("item"), winnowing.fingerprints(tokens.code_tokens("text"), K, W).alias("fps"))
+    q = table(spark, sf_dir, "queries").select(ref_id("query_id").alias("id"), ref_id("file_id").alias("item"))
+    d = table(spark, sf_dir, "corpus").select(ref_id("document_id").alias("id"), ref_id("file_id").alias("item"))
+    return set_blocks.index(files, q, d)
+
+
 def _ranking(spark: SparkSession, sf_dir: str) -> dict:
     """The pairs above 0, and the queries and documents over all of which they are ranked."""
     q, d = _sides(spark, sf_dir)
@@ -492,7 +500,7 @@ _FIVE = ("average_precision", "reciprocal_rank", "precision_at_k", "recall_at_k"
 
 @_query(f"{_PER_QUERY} select query_id, results, relevant, {_r(*_FIVE)} from q")
 def query_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(retrieval.query_metrics(qrels=_qrels(spark, sf_dir), k=10, **_ranking(spark, sf_dir)), *_FIVE)
+    return _round(retrieval.set_metrics(_index(spark, sf_dir), _qrels(spark, sf_dir), k=10), *_FIVE)
 
 
 @_query(f"""{_PER_QUERY} select count(*) as query_count, sum(results) as result_count, sum(relevant) as relevant_count, round(avg(average_precision), 6) as map,
