@@ -465,12 +465,6 @@ def _index(spark: SparkSession, sf_dir: str) -> set_blocks.Index:
     return set_blocks.index(files, q, d)
 
 
-def _ranking(spark: SparkSession, sf_dir: str) -> dict:
-    """The pairs above 0, and the queries and documents over all of which they are ranked."""
-    q, d = _sides(spark, sf_dir)
-    return {"results": _named(winnowing.shared_counts(q, d)), "over": (q.select(F.col("id").alias("query_id")), d.select(F.col("id").alias("document_id")))}
-
-
 QUERIES["retrieval_scores"] = (_results, _RESULTS)
 _QRELS = f"""select {ref_id_sql("query_id")} as query_id, {ref_id_sql("document_id")} as document_id, max(relevance) as relevance from qrels
   where isfinite(relevance) and relevance >= 0 and {ref_id_sql("query_id")} is not null and {ref_id_sql("document_id")} is not null group by 1, 2"""
@@ -506,7 +500,7 @@ def query_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""{_PER_QUERY} select count(*) as query_count, sum(results) as result_count, sum(relevant) as relevant_count, round(avg(average_precision), 6) as map,
   round(avg(reciprocal_rank), 6) as mrr, {", ".join(f"round(avg({c}), 6) as {c}" for c in _FIVE[2:])} from q""")
 def retrieval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _round(retrieval.retrieval_metrics(qrels=_qrels(spark, sf_dir), k=10, **_ranking(spark, sf_dir)), "map", "mrr", *_FIVE[2:])
+    return _round(retrieval.averaged(retrieval.set_metrics(_index(spark, sf_dir), _qrels(spark, sf_dir), k=10)), "map", "mrr", *_FIVE[2:])
 
 
 # ---------------------------------------------------------------- code metrics

@@ -76,3 +76,24 @@ def test_scores_are_rounded_half_up(spark):
     cell.lsize, cell.rsize = u, c  # of all of the right set, so that the union is the left one
     want = [r[0] for r in spark.createDataFrame(pairs, "c long, u long").select(F.round(F.col("c") / F.col("u"), 6)).collect()]
     assert (cell.scores(c, np.arange(len(c)), np.arange(len(c))) / 1e6).tolist() == want
+
+
+def test_retrieval_metrics_form_no_pairs(monkeypatch, spark, tmp_path):
+    """The query works on files that all share a value without the inverted index that lists every pair."""
+    from kinsift import queries
+    from kinsift.operators import winnowing
+
+    _tables(spark, tmp_path)
+    for name in ("shared_counts", "with_zeros"):
+        monkeypatch.setattr(winnowing, name, None)
+    row = queries.QUERIES["retrieval_metrics"][0](spark, str(tmp_path)).first()
+    assert (row.query_count, row.result_count, row.relevant_count, row.mrr, row.precision_at_k) == (3, 12, 2, round(2 / 3, 6), round(0.2 / 3, 6))
+
+
+def _tables(spark, tmp_path):
+    """Three queries, two of them judged to match a document of the same text; four documents."""
+    texts = [" ".join(f"w{i}" for i in range(at, at + 12)) for at in (0, 40, 80, 120)]
+    spark.createDataFrame([(f"f{i}", t) for i, t in enumerate(texts)], "file_id string, text string").write.parquet(f"{tmp_path}/files.parquet")
+    spark.createDataFrame([(f"q{i}", f"f{i}") for i in range(3)], "query_id string, file_id string").write.parquet(f"{tmp_path}/queries.parquet")
+    spark.createDataFrame([(f"d{i}", f"f{i}") for i in range(4)], "document_id string, file_id string").write.parquet(f"{tmp_path}/corpus.parquet")
+    spark.createDataFrame([("q0", "d0", 1.0), ("q1", "d1", 2.0), ("q2", "d2", 0.0)], "query_id string, document_id string, relevance double").write.parquet(f"{tmp_path}/qrels.parquet")
