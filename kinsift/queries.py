@@ -673,10 +673,8 @@ def _retrieval_folds() -> str:
 @_query(_retrieval_folds())
 def retrieval_resamples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranking metrics on five unshuffled folds of the queries."""
-    results = cut(_results(spark, sf_dir))
-    n = results.select("query_id").distinct().count()
-    splits = resample.as_table(spark, resample.kfold_splits(n, 5, shuffle=False))
-    return _round(resample.evaluate_retrieval_resamples(results, _qrels(spark, sf_dir), splits), "map", "mrr", *_FIVE[2:])
+    metrics = retrieval.set_metrics(_index(spark, sf_dir), _qrels(spark, sf_dir), k=10)
+    return _round(resample.evaluate_query_folds(metrics, 5), "map", "mrr", *_FIVE[2:])
 
 
 @_query(f"""{_SWEEP}, best as (select threshold, round(f1, 6) as f1 from (select *, {_RATIOS} from at_) order by f1 desc, precision desc, recall desc, accuracy desc, threshold desc limit 1),

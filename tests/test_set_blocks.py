@@ -90,6 +90,23 @@ def test_retrieval_metrics_form_no_pairs(monkeypatch, spark, tmp_path):
     assert (row.query_count, row.result_count, row.relevant_count, row.mrr, row.precision_at_k) == (3, 12, 2, round(2 / 3, 6), round(0.2 / 3, 6))
 
 
+def test_retrieval_resamples_form_no_pairs(monkeypatch, spark):
+    """Folds of the metrics of sets are those of the table of all pairs."""
+    from kinsift import queries
+    from kinsift.operators import resample, winnowing
+
+    q, d = _random_sides(random.Random(3))
+    judged = spark.createDataFrame([(a, b, 1.0) for a in q for b in list(d)[:3]] + [("other", "d01", 1.0)], _JUDGED)
+    whole = spark.createDataFrame([(a, b, _similarity(s, t)) for a, s in q.items() for b, t in d.items()], "query_id string, document_id string, similarity_score double")
+    key = lambda df: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in df.collect())
+    folds = resample.as_table(spark, resample.kfold_splits(len(q), 5, shuffle=False))
+    assert key(resample.evaluate_query_folds(retrieval.set_metrics(_sides(spark, q, d), judged), 5)) == key(resample.evaluate_retrieval_resamples(whole, judged, folds))
+    monkeypatch.setattr(winnowing, "with_zeros", None)
+    monkeypatch.setattr(queries, "_index", lambda *_: _sides(spark, q, d))
+    monkeypatch.setattr(queries, "_qrels", lambda *_: judged)
+    assert queries.QUERIES["retrieval_resamples"][0](spark, "").count() == 5
+
+
 def _tables(spark, tmp_path):
     """Three queries, two of them judged to match a document of the same text; four documents."""
     texts = [" ".join(f"w{i}" for i in range(at, at + 12)) for at in (0, 40, 80, 120)]
