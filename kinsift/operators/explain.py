@@ -7,17 +7,20 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinsift.functions.ids import strip
-from kinsift.functions.strings import levenshtein_at_least
+from kinsift.functions.ids import WHITE
+from kinsift.functions.strings import distances
 from kinsift.functions.vectors import hash_vector
 from kinsift.operators import datasets
 from kinsift.session import cut, spread
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 MODES = ("line", "token", "chunk")
+#: Pairs of segments that are compared at once.
+COMPARED = 1 << 15
 _SEGMENT = "struct<text:string,start:int,end:int,line:int,last:int>"
 
 
@@ -42,27 +45,80 @@ def segments(code: str, mode: str = "line", chunk_size: int = 5) -> list[tuple[s
     return out
 
 
-def greedy(scored: list[tuple[float, int, int]]) -> list[tuple[int, int, float]]:
-    """One-to-one matches of (score, i, j), best score first, then by i, then by j."""
-    left, right, out = set(), set(), []
-    for s, i, j in sorted(scored, key=lambda x: (-x[0], x[1], x[2])):
-        if i not in left and j not in right:
-            left.add(i)
-            right.add(j)
+def greedy(scores: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int, float]]:
+    """One-to-one matches (i, j, score) of candidates, best score first, then by i, then by j."""
+    order = np.lexsort((right, left, -scores))
+    used_left, used_right, out = set(), set(), []
+    for i, j, s in zip(left[order].tolist(), right[order].tolist(), scores[order].tolist()):
+        if i not in used_left and j not in used_right:
+            used_left.add(i)
+            used_right.add(j)
             out.append((i, j, s))
     return out
 
 
+def _equal_lines(a: list[str], b: list[str]) -> tuple[list[tuple[int, int, float]], list[int], list[int]]:
+    """Matches of equal texts that aren't empty, which greedy() takes before all others (the first of one side with the
+    first of the other, and so on), and the places on both sides that are left."""
+    at: dict[str, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        if b[j]:
+            at.setdefault(b[j], []).append(j)
+    out, left = [], []
+    for i, x in enumerate(a):
+        if x and at.get(x):
+            out.append((i, at[x].pop(), 1.0))
+        elif x:
+            left.append(i)
+    return out, left, sorted(j for places in at.values() for j in places)
+
+
+def match_texts(sides: list[tuple[list[str], list[str]]], low: float) -> list[list[tuple[int, int, float]]]:
+    """For every pair of lists of texts the greedy() matches (i, j, similarity) of at least low, by i. The texts that
+    are left after equal ones are compared for many pairs at once, COMPARED at a time."""
+    found, open_, candidates = [], [], {}
+    for at, (a, b) in enumerate(sides):
+        out, left, right = _equal_lines(a, b)
+        found.append(out)
+        step = max(1, COMPARED // max(1, len(right)))
+        open_ += [(at, left[i : i + step], right) for i in range(0, len(left) if right else 0, step)]
+    while open_:
+        part, size = [], 0
+        while open_ and (not part or size + len(open_[-1][1]) * len(open_[-1][2]) <= COMPARED):
+            part.append(open_.pop())
+            size += len(part[-1][1]) * len(part[-1][2])
+        texts, lefts, rights, firsts = [], [], [], []
+        for at, left, right in part:
+            first, second = len(texts), len(texts) + len(left)
+            texts += [sides[at][0][i] for i in left] + [sides[at][1][j] for j in right]
+            lefts.append(np.repeat(np.arange(first, second), len(right)))
+            rights.append(np.tile(np.arange(second, len(texts)), len(left)))
+            firsts.append(first)
+        x, y = np.concatenate(lefts), np.concatenate(rights)
+        lengths = np.array([len(t) for t in texts])
+        longer = np.maximum(lengths[x], lengths[y])
+        near = np.flatnonzero(np.minimum(lengths[x], lengths[y]) >= low * longer - 1e-9)
+        x, y = x[near], y[near]
+        scores = 1.0 - distances(texts, x, y) / longer[near]
+        kept = np.flatnonzero(scores >= low)
+        x, y, scores = x[kept], y[kept], scores[kept]
+        places = np.concatenate([np.array(v) for _, left, right in part for v in (left, right)])
+        bounds = np.searchsorted(x, [*firsts, len(texts)])
+        for (at, _, _), begin, end in zip(part, bounds, bounds[1:]):
+            candidates.setdefault(at, []).append((scores[begin:end], places[x[begin:end]], places[y[begin:end]]))
+    for at, parts in candidates.items():
+        found[at] += greedy(*map(np.concatenate, zip(*parts)))
+    return [sorted(rows) for rows in found]
+
+
 def explain_pairs(pairs: DataFrame, mode: str = "line", bands: tuple[float, float, float] = (0.85, 0.6, 0.3), chunk_size: int = 5) -> DataFrame:
     """pairs (pair_id, unique; left_text, right_text): a row a match, with both sides' index, text, start and first
     line, score to 6 decimals and level (high, medium, low by `bands`, the lowest above 0). Matches are one to one,
     best first, and numbered from the left text's beginning. Null texts match nothing.
 
-    Segments of a pair are compared with each other in the JVM (Levenshtein similarity of the stripped texts, cut
-    off where the lowest band can't be reached); only the greedy choice among them, bounded by the pair's two
-    texts, runs in Python."""
-    parts, matches = _matched(pairs, mode, bands, chunk_size)
-    rows = matches.join(parts, "pair_id")
+    Equal texts are matched first, the others compared (Levenshtein similarity of the stripped texts) for many pairs at
+    once in Python workers, where the greedy choice runs as well; a pair's rows are made from its own row, no join."""
+    rows = _matched(pairs, mode, bands, chunk_size).select("l", "r", *_MATCH)
     a, b = F.element_at("l", F.col("m.i") + 1), F.element_at("r", F.col("m.j") + 1)
     return rows.select(
         "pair_id", "match_id", F.col("m.i").alias("left_index"), F.col("m.j").alias("right_index"), a["text"].alias("left_text"), b["text"].alias("right_text"),
@@ -73,7 +129,8 @@ def explain_pairs(pairs: DataFrame, mode: str = "line", bands: tuple[float, floa
 def explained_segments(pairs: DataFrame, mode: str = "line", bands: tuple[float, float, float] = (0.85, 0.6, 0.3), chunk_size: int = 5) -> DataFrame:
     """A row a segment of either side (left, right), matched or not: index, text, start_char, end_char, start_line,
     end_line, match_id, matched_index, score and level; without a match null, null, 0 and none."""
-    parts, matches = _matched(pairs, mode, bands, chunk_size)
+    parts = cut(_parts(pairs, mode, bands, chunk_size))
+    matches = cut(_named(parts, bands).select(*_MATCH))
     out = None
     for side, column, own, other in (("left", "l", "i", "j"), ("right", "r", "j", "i")):
         rows = parts.select("pair_id", F.posexplode(column).alias("index", "x"))
@@ -86,29 +143,44 @@ def explained_segments(pairs: DataFrame, mode: str = "line", bands: tuple[float,
     return out
 
 
-def _matched(pairs: DataFrame, mode: str, bands: tuple[float, float, float], chunk_size: int) -> tuple[DataFrame, DataFrame]:
-    """(pair_id, l, r: the segments; pair_id, match_id, m: i, j, score, level)."""
-    high, medium, low = bands
-    if not 0 < low <= medium <= high <= 1:
-        raise ValueError("bands fall from at most 1 to above 0")
-    segments("", mode)
+_MATCH = ("pair_id", "match_id", "m", "score", "level")
+
 
-    @F.pandas_udf(f"array<{_SEGMENT}>")
-    def cut_up(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: [dict(zip(("text", "start", "end", "line", "last"), x)) for x in segments(t or "", mode, chunk_size)])
+def _matched(pairs: DataFrame, mode: str, bands: tuple[float, float, float], chunk_size: int) -> DataFrame:
+    return _named(_parts(pairs, mode, bands, chunk_size), bands)
 
-    @F.pandas_udf("array<struct<i:int,j:int,score:double>>")
-    def choose(scored: pd.Series) -> pd.Series:
-        return scored.map(lambda rows: [dict(zip(("i", "j", "score"), m)) for m in sorted(greedy([(r["score"], r["i"], r["j"]) for r in rows]))])
 
-    parts = cut(pairs.select("pair_id", cut_up("left_text").alias("l"), cut_up("right_text").alias("r")))
-    left = spread(parts).select("pair_id", F.posexplode("l").alias("i", "a"), "r")
-    both = left.select("pair_id", "i", strip("a.text").alias("x"), F.posexplode("r").alias("j", "b")).select("pair_id", "i", "j", "x", strip("b.text").alias("y"))
-    scored = both.where("x <> '' and y <> ''").withColumn("score", levenshtein_at_least("x", "y", low)).where("score is not null")
-    chosen = scored.groupBy("pair_id").agg(F.collect_list(F.struct("score", "i", "j")).alias("m")).select("pair_id", F.posexplode(choose("m")).alias("n", "m"))
+def _named(parts: DataFrame, bands: tuple[float, float, float]) -> DataFrame:
+    """A row a match: pair_id, l, r, match_id, m: i, j, score, then score (rounded) and level."""
+    high, medium, _ = bands
     level = F.when(F.col("m.score") >= high, "high").when(F.col("m.score") >= medium, "medium").otherwise("low")
-    named = chosen.select("pair_id", F.concat(F.lit("m"), (F.col("n") + 1).cast("string")).alias("match_id"), "m", F.round("m.score", 6).alias("score"), level.alias("level"))
-    return parts, cut(named)
+    rows = parts.select("pair_id", "l", "r", F.posexplode("m").alias("n", "m"))
+    return rows.select("pair_id", "l", "r", F.concat(F.lit("m"), (F.col("n") + 1).cast("string")).alias("match_id"), "m", F.round("m.score", 6).alias("score"), level.alias("level"))
+
+
+def _parts(pairs: DataFrame, mode: str, bands: tuple[float, float, float], chunk_size: int) -> DataFrame:
+    """pair_id, l, r: the segments, m: the matches (i, j, score)."""
+    high, medium, low = bands
+    if not 0 < low <= medium <= high <= 1:
+        raise ValueError("bands fall from at most 1 to above 0")
+    segments("", mode)
+    kinds = {"text": pa.string(), "start": pa.int32(), "end": pa.int32(), "line": pa.int32(), "last": pa.int32()}, {"i": pa.int32(), "j": pa.int32(), "score": pa.float64()}
+
+    def column(rows: list[list[tuple]], kind: dict) -> pa.Array:
+        flat = list(zip(*(x for row in rows for x in row))) or [()] * len(kind)
+        values = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(flat, kind.values())], list(kind))
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                l, r = ([segments(t or "", mode, chunk_size) for t in part.column(c).to_pylist()] for c in ("left_text", "right_text"))
+                m = match_texts([([x[0].strip(WHITE) for x in a], [x[0].strip(WHITE) for x in b]) for a, b in zip(l, r)], low)
+                yield pa.RecordBatch.from_arrays([part.column("pair_id"), column(l, kinds[0]), column(r, kinds[0]), column(m, kinds[1])], ["pair_id", "l", "r", "m"])
+
+    schema = f"pair_id {pairs.schema['pair_id'].dataType.simpleString()}, l array<{_SEGMENT}>, r array<{_SEGMENT}>, m array<struct<i:int,j:int,score:double>>"
+    return spread(pairs.select("pair_id", "left_text", "right_text")).mapInArrow(run, schema)
 
 
 def project(vectors: DataFrame, dims: int = 2) -> DataFrame:
