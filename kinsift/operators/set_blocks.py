@@ -23,6 +23,8 @@ MILLION = 1_000_000
 DENSE, ENTRIES = 1 << 21, 1 << 22
 #: Left sets and right sets of a cell.
 LEFT_BLOCK, RIGHT_BLOCK = 2048, 1 << 18
+#: Right sets of a cell whose scores all leave it.
+SCORED_BLOCK = 4096
 _CELL = "lb int, rb int, kind int, xs array<int>, ys array<int>, n int, k long, s long, id string, relevance double"
 
 
@@ -195,3 +197,37 @@ def ranks(x: Index, judged: DataFrame, left_block: int = LEFT_BLOCK, right_block
         out = run(wanted, True)
     rank = F.col("ahead") + 1 + F.when(F.col("score") > 0, 0).otherwise(F.col("place"))
     return out.select(F.col("id").alias("query_id"), rank.alias("rank"), "relevance")
+
+
+def scores(x: Index, left_block: int = LEFT_BLOCK, right_block: int = SCORED_BLOCK) -> DataFrame:
+    """(query_id, document_id, similarity_score to 6 decimals) of every left id and every right id.
+
+    A cell gives an array of scores a left id; a block's right ids, in the order of their places, are broadcast to
+    where the arrays become rows. No pair is shuffled or in a table of its own."""
+    lefts, rights = max(1, -(-x.left_sets // left_block)), max(1, -(-x.right_sets // right_block))
+
+    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        c, rb = _Cell(table), table["rb"][0].as_py()
+        number, ids = c.members["n"].to_numpy(), c.members["id"].combine_chunks()
+        order = np.argsort(number, kind="stable")
+        number, width = np.searchsorted(c.ln, number[order]), len(c.place)
+        for at, end in c.groups() if width else ():
+            counts = c.counts(at, end)
+            met = np.flatnonzero(counts)
+            row = met // width
+            out = np.zeros(len(counts), np.int32)
+            out[met] = c.scores(counts[met], row + at, met - row * width)
+            a, b = np.searchsorted(number, [at, end])
+            for i in range(a, b, max(1, DENSE // width)):  # ids of one set may be many
+                own = slice(i, min(b, i + max(1, DENSE // width)))
+                values = out.reshape(-1, width)[number[own] - at].ravel()
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(values) + 1, width), pa.int32()), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(own.stop - i, rb, np.int32)), ids.take(pa.array(order[own])), lists], ["rb", "id", "scores"])
+
+    rows = _cells(x, lefts, rights, None)
+    rows = rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, min(lefts * rights, 10_000)), "lb", "rb")
+    out = rows.groupBy("lb", "rb").applyInArrow(cell, "rb int, id string, scores array<int>")
+    blocks = x.right.groupBy(F.pmod("n", F.lit(rights)).alias("rb")).agg(F.array_sort(F.collect_list(F.struct("place", "id")))["id"].alias("ids"))
+    pairs = out.join(F.broadcast(blocks), "rb").select("id", "ids", F.posexplode("scores").alias("at", "score"))
+    return pairs.select(F.col("id").alias("query_id"), F.get("ids", "at").alias("document_id"), (F.col("score") / MILLION).alias("similarity_score"))

@@ -438,25 +438,6 @@ _RESULTS = f"""
   from qs q cross join ds d left join met on met.query_id = q.query_id and met.document_id = d.document_id"""
 
 
-def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(id, fps) of the queries and of the corpus documents whose file has a text."""
-    files = spread(table(spark, sf_dir, "files").where("text is not null").select("file_id", "text")).select(ref_id("file_id").alias("f"), winnowing.fingerprints(tokens.code_tokens("text"), K, W).alias("fps"))
-    files = cut(files)
-    q = table(spark, sf_dir, "queries").select(ref_id("query_id").alias("id"), ref_id("file_id").alias("f")).join(files, "f").select("id", "fps")
-    d = table(spark, sf_dir, "corpus").select(ref_id("document_id").alias("id"), ref_id("file_id").alias("f")).join(files, "f").select("id", "fps")
-    return q, d
-
-
-def _named(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("document_id"), F.round("similarity", 6).alias("similarity_score"))
-
-
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every query's file against every corpus file, those that share no fingerprint at 0."""
-    q, d = _sides(spark, sf_dir)
-    return _named(winnowing.with_zeros(cut(winnowing.shared_counts(q, d)), q, d))
-
-
 def _index(spark: SparkSession, sf_dir: str) -> set_blocks.Index:
     """The queries and the corpus documents whose file has a text, by their files' fingerprints."""
     files = spread(table(spark, sf_dir, "files").where("text is not null").select("file_id", "text")).select(ref_id("file_id").alias("item"), winnowing.fingerprints(tokens.code_tokens("text"), K, W).alias("fps"))
@@ -465,6 +446,11 @@ def _index(spark: SparkSession, sf_dir: str) -> set_blocks.Index:
     return set_blocks.index(files, q, d)
 
 
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every query's file against every corpus file, those that share no fingerprint at 0."""
+    return set_blocks.scores(_index(spark, sf_dir))
+
+
 QUERIES["retrieval_scores"] = (_results, _RESULTS)
 _QRELS = f"""select {ref_id_sql("query_id")} as query_id, {ref_id_sql("document_id")} as document_id, max(relevance) as relevance from qrels
   where isfinite(relevance) and relevance >= 0 and {ref_id_sql("query_id")} is not null and {ref_id_sql("document_id")} is not null group by 1, 2"""

@@ -107,6 +107,17 @@ def test_retrieval_resamples_form_no_pairs(monkeypatch, spark):
     assert queries.QUERIES["retrieval_resamples"][0](spark, "").count() == 5
 
 
+@pytest.mark.parametrize(("left", "right", "dense"), [(1000, 1000, 1 << 21), (3, 7, 20)])
+def test_scores_of_all_pairs_without_a_shuffle_of_them(spark, monkeypatch, left, right, dense):
+    monkeypatch.setattr(set_blocks, "DENSE", dense)
+    q, d = _random_sides(random.Random(4))
+    df = set_blocks.scores(_sides(spark, q, d), left, right)
+    got = [tuple(r) for r in df.collect()]
+    assert len(got) == len(q) * len(d) and {(a, b): s for a, b, s in got} == {(a, b): _similarity(s, t) for a, s in q.items() for b, t in d.items()}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" not in plan.split("FlatMapGroups")[0] and "Aggregate" not in plan.split("FlatMapGroups")[0]
+
+
 def _tables(spark, tmp_path):
     """Three queries, two of them judged to match a document of the same text; four documents."""
     texts = [" ".join(f"w{i}" for i in range(at, at + 12)) for at in (0, 40, 80, 120)]
